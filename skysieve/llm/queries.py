@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
+from .mixing import mix
 from .secret_scan import KINDS, scan_secrets
 from .token_counts import count_tokens
+from .topk_search import top_k
+from .url_filter import RULES, filter_urls
+from .warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +35,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -45,16 +54,51 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+#: (action, host, path)
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(table(spark, sf_dir, "pages"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_topk_search": op3_topk_search,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
+    "op10_warc": op10_warc,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS4 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
+    "op3_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORDS4}') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORDS4}') AS w FROM benchmark),
@@ -68,4 +112,35 @@ its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS it
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS weight, 3 * source_size AS cap FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT)
+               - CAST(coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+             CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest_weight FROM w),
+f AS (SELECT rest, rest_weight FROM l WHERE rest * weight <= cap * rest_weight ORDER BY cap / weight, source NULLS LAST LIMIT 1),
+t AS (SELECT l.source, l.source_size, CASE WHEN f.rest IS NULL OR l.cap * f.rest_weight <= f.rest * l.weight THEN CAST(l.cap AS DOUBLE)
+             ELSE CAST(f.rest AS DOUBLE) * l.weight / f.rest_weight END AS target FROM l LEFT JOIN f ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
+q AS (SELECT *, ratio - floor(ratio) AS p, (ratio - floor(ratio)) * source_size AS gap FROM p),
+u AS (SELECT d.doc_id, d.size, q.*, (CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, size, source_size, target,
+       CAST((floor(ratio) + CASE WHEN p > 0 AND upto - size / 2 <= gap THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c""",
+    "op8_url_filter": r"""
+WITH p AS (SELECT page_id, contains(coalesce(url, ''), '://') AS ok, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+h AS (SELECT page_id, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS raw, CASE WHEN ok THEN rest ELSE '' END AS rest FROM p),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(action, rh, rp)),
+m AS (SELECT u.page_id, u.host, u.path, max_by(struct_pack(rule := rh || rp, action := action), length(rh || rp)) AS best
+      FROM u LEFT JOIN r ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp) GROUP BY ALL)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM m""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
 }
