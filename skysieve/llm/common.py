@@ -6,18 +6,37 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _OWN_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 #: The white space that separates words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir():  # else it was itself shipped
+        folder = tempfile.mkdtemp(prefix="skysieve-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/skysieve_code.zip", "w") as out:
+            for p in sorted(package.rglob("*.py")):
+                out.write(p, p.relative_to(package.parent))
+        spark.sparkContext.addPyFile(f"{folder}/skysieve_code.zip")
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's own reader, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +58,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
@@ -68,6 +88,7 @@ class Scratch:
 
 def map_rows(df: DataFrame, schema: T.StructType, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``mapInArrow`` over columns: ``per_batch`` gives a list or array for each output column."""
+    ship(df.sparkSession)
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from .mixing import mix
 from .secret_scan import KINDS, scan_secrets
 from .token_counts import count_tokens
 from .topk_search import top_k
+from .toxicity import fit, score
 from .url_filter import RULES, filter_urls
 from .warc import round_trip
 
@@ -54,6 +55,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op3_topk_search": op3_topk_search,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op10_warc": op10_warc,
