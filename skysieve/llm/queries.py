@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import decontaminate
 from .mixing import mix
 from .secret_scan import KINDS, scan_secrets
+from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .topk_search import top_k
 from .toxicity import fit, score
@@ -78,6 +79,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = round_trip(table(spark, sf_dir, "pages"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
 }
 
