@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
+from .jaccard_join import join_components
 from .mixing import mix
 from .secret_scan import KINDS, scan_secrets
 from .substring_dedup import dedup_substrings
@@ -37,6 +38,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
@@ -92,6 +97,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_topk_search": op3_topk_search,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
