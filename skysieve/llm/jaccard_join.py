@@ -17,10 +17,11 @@ most ``COLD`` sets stay together; larger ones are hot, and only needed for sets
 that have at most k signatures left without the hot ones.
 
 Only components are asked for, so not all links are tested: each set is first
-verified against the smallest set it meets, and later rounds test only pairs
-that meet and are still in different components, which loses no link between
-components. Pairs are pruned by size and by a 512-bit parity sketch (both safe),
-then verified by counting common shingles of the two texts.
+verified with the nearest set it meets, and later rounds test only pairs that
+meet and are still in different components, which loses no link between
+components. Pairs are pruned by size and by a 512-bit parity sketch (both safe)
+where they meet, before rows are made of them, then verified by counting common
+shingles of the two texts; only texts in close pairs are fetched.
 
 Copies share a set id, so they cost nothing after the first pass. Nothing is
 broadcast; no group is ever held but a cold bucket, a slice, and a text pair.
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 from .common import Scratch, field, map_rows
 
 WORDS, SHARE = 5, (4, 5)
-COLD, LOCALLY_HOT, HUBS = 64, 256, 16
+COLD, LOCALLY_HOT, CHUNK, FEW_TEXTS = 64, 256, 256, 100_000
 SLICE_BYTES, FLUSH, MEMO = 24 << 20, 1_000_000, 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -137,9 +138,9 @@ def signatures(h: np.ndarray, share: tuple[int, int]) -> list[tuple[np.ndarray,
     return out
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """512 parities; two sets differ in at least as many elements as their sketches in bits."""
-    return np.packbits((np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+def sketch(h: np.ndarray, bits: int = 512) -> bytes:
+    """Parities of as many classes; two sets differ in at least as many elements as their sketches in bits."""
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 _SKETCH = [T.StructField(f"s{k}", T.LongType()) for k in range(8)]
@@ -179,9 +180,9 @@ def _blobs(sigs: list[np.ndarray], sets: list[int], slices: int, locally_hot: in
     out: list[dict] = []
     if hot.any():
         low, at = sig[hot] & _LOW40, _place(sig[hot], slices)
+        first = new[size > locally_hot]
         for b, s, w in zip(_bucket(low >> np.uint64(1), at).tolist(), ids[who[hot]].tolist(), (sig[hot] & np.uint64(1)).tolist(), strict=True):
             out.append({"kind": 2, "slice": (s + b) % slices, "bucket": b, "set": s, "next": w})
-        first = new[size > locally_hot]
         who = who.copy()
         who[first] = 0xFFFF
         stay = ~hot
@@ -240,7 +241,7 @@ def _sign(batches: Iterator[pa.RecordBatch], schema: T.StructType, slices: int,
 def _result_schema(id_field: T.StructField) -> T.StructType:
     return T.StructType([
         T.StructField("kind", T.IntegerType()), id_field, T.StructField("set", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("copy", T.LongType()),
-        *_SET, T.StructField("bucket", T.LongType()), T.StructField("next", T.LongType()), T.StructField("hub", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())),
+        *_SET, T.StructField("bucket", T.LongType()), T.StructField("next", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())),
     ])
 
 
@@ -297,14 +298,98 @@ def _gather(table: pa.Table, schema: T.StructType, cold: int) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def _close(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs that size and sketch allow to be similar."""
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.DoubleType())])
+_MEMBER = T.StructType([T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), *_SKETCH, T.StructField("comp", T.LongType()), T.StructField("weight", T.LongType())])
+
+
+def _sketched(members) -> tuple[np.ndarray, ...]:
+    """(set, n, sketch words, comp) of an Arrow list of member structs."""
+    col = lambda name: members.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
+    return col("set"), col("n"), np.stack([col(f"s{k}") for k in range(8)], axis=1).view(np.uint64), col("comp")
+
+
+def _distance(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], share: tuple[int, int]) -> np.ndarray:
+    """Differing sketch bits over the sizes' sum, for all pairs of x with y; infinite where size or sketch rule a link out."""
     a, b = share
-    side = lambda p: sets.select(F.col("set").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(f"s{k}").alias(f"{p}_s{k}") for k in range(8)))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(8)), F.lit(0))
-    near = F.least("a_n", "b_n") * b >= F.greatest("a_n", "b_n") * a
-    return both.filter(near & (differ * (a + b) <= (F.col("a_n") + F.col("b_n")) * (b - a))).select("a", "b")
+    n, m = x[1][:, None], y[1][None, :]
+    differ = np.bitwise_count(x[2][:, None, :] ^ y[2][None, :, :]).sum(axis=2, dtype=np.int64)
+    near = (np.minimum(n, m) * b >= np.maximum(n, m) * a) & (differ * (a + b) <= (n + m) * (b - a))
+    return np.where(near, differ / (n + m), np.inf)
+
+
+def _rows_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+    x, y, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, (np.int64, np.int64, float)[k]) for k in range(3))
+    return {"a": np.maximum(x, y), "b": np.minimum(x, y), "far": far}
+
+
+def _within(batch: pa.RecordBatch, share: tuple[int, int]) -> dict:
+    """Close pairs inside each bucket."""
+    found = []
+    for row in batch.column(0):
+        m = _sketched(row.values)
+        far = _distance(m, m, share)
+        i, j = np.nonzero(np.triu(np.isfinite(far), 1))
+        found.append((m[0][i], m[0][j], far[i, j]))
+    return _rows_of(found)
+
+
+def _between(batch: pa.RecordBatch, share: tuple[int, int], best: bool) -> dict:
+    """Close pairs of two lists of a bucket's sets in different components: all, or the nearest of the second list for each of the first."""
+    found = []
+    for p, q in zip(batch.column(0), batch.column(1), strict=True):
+        x, y = _sketched(p.values), _sketched(q.values)
+        far = np.where(x[3][:, None] != y[3][None, :], _distance(x, y, share), np.inf)
+        if best:
+            j = far.argmin(axis=1)
+            i = np.flatnonzero(np.isfinite(far[np.arange(len(j)), j]))
+            j = j[i]
+        else:
+            i, j = np.nonzero(np.isfinite(far))
+        found.append((x[0][i], y[0][j], far[i, j]))
+    return _rows_of(found)
+
+
+def _central(batch: pa.RecordBatch, share: tuple[int, int]) -> dict:
+    """The two sets of each chunk that are close to most others of it."""
+    buckets, degrees, members = [], [], []
+    for bucket, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        m = _sketched(row.values)
+        degree = np.isfinite(_distance(m, m, share)).sum(axis=1)
+        top = np.argsort(-degree, kind="stable")[:2]
+        buckets += [bucket] * len(top)
+        degrees += degree[top].tolist()
+        members += row.values.take(pa.array(top)).to_pylist()
+    return {"bucket": buckets, "degree": degrees, "member": members}
+
+
+def _wide(texts: DataFrame, size: int) -> DataFrame:
+    """(set, n, w): 4096 parities of each set, for a second and sharper filter."""
+    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
+
+    def parities(batch: pa.RecordBatch) -> dict:
+        hashes = [shingles(t.as_py(), size) for t in batch.column(1)]
+        return {"set": batch.column(0), "n": [len(h) for h in hashes], "w": [sketch(h, 4096) for h in hashes]}
+
+    return map_rows(texts, schema, parities)
+
+
+def _likely(pairs: DataFrame, wide: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs whose wide sketches do not differ in more bits than similar sets may differ in elements."""
+    a, b = share
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    side = lambda p: wide.select(F.col("set").alias(p), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w"))
+
+    def keep(batch: pa.RecordBatch) -> dict:
+        if not len(batch):
+            return {"a": [], "b": []}
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (3, 5))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+        ok = pa.array(differ * (a + b) <= both * (b - a))
+        return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
+
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "aw", "bn", "bw")
+    return map_rows(joined, schema, keep)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
@@ -345,6 +430,56 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
 
 
+def _hot_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, buckets): the hot buckets of the sets that have at most k signatures of a band without them."""
+    mine = rows.groupBy("set").agg(F.collect_set(F.struct("bucket", "next")).alias("hot"))  # as many as a set has signatures
+    of = lambda which: F.filter("hot", lambda x: x["next"] == which)
+    few = lambda which: F.when(F.col(f"m{which}") - F.size(of(which)) <= F.col(f"k{which}"), of(which)).otherwise(F.array_except(of(which), of(which)))
+    kept = F.transform(F.concat(few(0), few(1)), lambda x: x["bucket"])
+    return mine.join(sets.select("set", "m0", "k0", "m1", "k1"), "set").select("set", kept.alias("buckets")).filter(F.size("buckets") > 0)
+
+
+def _members(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, comp, buckets, member): what a hot set carries into its buckets."""
+    weights = hot.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    rows = hot.join(weights, "comp").join(sets.select("set", "n", *(f.name for f in _SKETCH)), "set")
+    return rows.select("set", "comp", "weight", "buckets", F.struct(*_MEMBER.fieldNames()).alias("member"))
+
+
+def _hot_hubs(scratch: Scratch, hot: DataFrame, sets: DataFrame, turn: int, chunks: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b, far): each hot set with the nearest of its buckets' most central sets in another component, over an eighth of the buckets.
+
+    This only saves work, so central sets are few: whatever it misses is met later.
+    """
+    here = F.filter("buckets", lambda b: F.pmod(b, F.lit(8)) == turn)
+    rows = _members(hot, sets).withColumn("bucket", F.explode(here))
+    each = rows.groupBy("bucket", F.pmod(F.xxhash64("set"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("member").alias("m"))
+    each = scratch.keep(each, "chunks")
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("degree", T.LongType()), T.StructField("member", _MEMBER)])
+    central = map_rows(each.select("bucket", "m"), schema, lambda batch: _central(batch, share))
+    central = central.groupBy("bucket").agg(F.transform(F.slice(F.sort_array(F.collect_set(F.struct("degree", "member")), asc=False), 1, COLD), lambda x: x["member"]).alias("c"))
+    return map_rows(each.join(central, "bucket").select("m", "c"), _PAIR, lambda batch: _between(batch, share, True)).distinct()
+
+
+def _hot_pairs(scratch: Scratch, hot: DataFrame, sets: DataFrame, chunks: int, share: tuple[int, int]) -> DataFrame:
+    """All close pairs in different components that share a hot bucket.
+
+    A bucket's sets come in chunks; only buckets with two components go on, and
+    only chunk pairs with two. Each pair is met from its smaller component, so a
+    bucket that is one large component and a few strays costs its size times the
+    strays.
+    """
+    spread = F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.least(F.col("weight"), F.lit(chunks)))), F.lit(chunks))
+    each = _members(hot, sets).withColumn("bucket", F.explode("buckets")).groupBy("bucket", spread.alias("chunk"))
+    order = F.struct("weight", "comp")
+    each = scratch.keep(each.agg(F.collect_list("member").alias("m"), F.min(order).alias("low"), F.max(order).alias("high")), "chunks")
+    open_ = each.groupBy("bucket").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("bucket")
+    here = scratch.keep(each.join(open_, "bucket"), "open")
+    side = lambda p: here.select("bucket", F.col("chunk").alias(f"{p}_chunk"), F.col("m").alias(p), F.col("low").alias(f"{p}_low"), F.col("high").alias(f"{p}_high"))
+    met = side("p").join(side("q"), "bucket").filter("p_low < q_high AND p_chunk <> q_chunk OR p_chunk = q_chunk AND p_low <> p_high").select("p", "q")
+    return map_rows(met, _PAIR, lambda batch: _between(batch, share, False)).distinct()
+
+
 def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, share: tuple[int, int] = SHARE, cold: int = COLD, locally_hot: int = LOCALLY_HOT) -> DataFrame:
     """One row per document row: id, n_shingles, set_id, component_id.
 
@@ -370,57 +505,62 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     one = F.min_by(F.struct("key", "copy", *(f.name for f in _SET)), F.struct("key", "copy")).alias("x")
     sets = scratch.keep(gathered.filter("kind = 0 AND set IS NOT NULL").groupBy("set").agg(one, F.min("id").alias("smallest")).select("set", "smallest", "x.*"), "sets")
     buckets = scratch.keep(gathered.filter("kind = 1").select("members").distinct(), "buckets")
-    hot = scratch.keep(gathered.filter("kind = 2").select("bucket", "set", "next").distinct(), "hot")
-
-    hubs = scratch.keep(hot.groupBy("bucket").agg(F.min("set").alias("hub")), "hubs")
-    meets = buckets.select(F.explode("members").alias("set"), F.element_at("members", 1).alias("hub")).unionByName(hot.join(hubs, "bucket").select("set", "hub"))
-    meets = scratch.keep(meets.groupBy("set").agg(F.min("hub").alias("hub")), "meets")  # every set that meets another
-    active = sets.join(meets, "set", "left_semi").select("set", "key", "copy")
-    active = scratch.keep(active, "active")
+    hot = scratch.keep(_hot_sets(gathered.filter("kind = 2"), sets), "hot")
+    sketched = F.struct("set", "n", *(f.name for f in _SKETCH), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("weight"))
+    members = buckets.select(F.xxhash64("members").alias("bucket"), F.size("members").alias("size"), F.explode("members").alias("set")).join(sets.select("set", "n", *(f.name for f in _SKETCH)), "set")
+    members = members.groupBy("bucket", "size").agg(F.collect_list(sketched).alias("m")).select("m")
+    close = scratch.keep(map_rows(members, _PAIR, lambda batch: _within(batch, share)).distinct(), "close")
+
+    wanted = close.select(F.explode(F.array("a", "b")).alias("set")).unionByName(hot.select("set")).distinct()
+    active = scratch.keep(sets.join(wanted, "set", "left_semi").select("set", "key", "copy"), "active")
     again = not rows.join(active, ["set", "key", "copy"], "left_semi").groupBy("set", "key", "copy").count().filter("count > 1").isEmpty()
-    found = docs.filter("text IS NOT NULL").select("key", "copy", "text").join(active, ["key", "copy"]).select("set", "text")
+    few = F.broadcast(active) if active.count() <= FEW_TEXTS else active
+    found = docs.filter("text IS NOT NULL").select("key", "copy", "text").join(few, ["key", "copy"]).select("set", "text")
     texts = scratch.keep(found.dropDuplicates(["set"]) if again else found, "texts")  # one text a set; repeated rows are rare
 
-    tested = scratch.keep(_close(meets.filter("set <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b")), sets, share), "tested")
-    links = scratch.keep(_verified(tested, texts, size, share), "links")
-    labels = components(scratch, links)
-
-    # Cold buckets: all pairs still in different components.
-    known = buckets.withColumn("bucket", F.monotonically_increasing_id())
-    known = scratch.keep(_labelled(known.select("bucket", F.explode("members").alias("set")), labels), "known")
-    open_ = known.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("set", "comp"))).alias("m")).filter(F.array_min(F.transform("m", lambda x: x["comp"])) < F.array_max(F.transform("m", lambda x: x["comp"])))
-    pairs = open_.select(F.explode("m").alias("x"), "m").select(F.col("x.set").alias("b"), F.explode(F.filter("m", lambda y: (y["set"] > F.col("x.set")) & (y["comp"] != F.col("x.comp")))).alias("y"))
-    pairs = pairs.select(F.col("y.set").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = scratch.keep(_verified(_close(pairs, sets, share), texts, size, share), "links")
-    if not more.isEmpty():
-        links = scratch.keep(links.unionByName(more), "links")
-        labels = components(scratch, links)
-
-    # Hot buckets: only sets that have too few signatures without them.
-    lost = hot.groupBy("set").agg(F.count_if(F.col("next") == 0).alias("h0"), F.count_if(F.col("next") == 1).alias("h1"))
-    few = sets.join(lost, "set").select("set", (F.col("m0") - F.col("h0") <= F.col("k0")).alias("few0"), (F.col("m1") - F.col("h1") <= F.col("k1")).alias("few1"))
-    few = scratch.keep(few, "few")
-    left = scratch.keep(hot.join(few, "set").filter(F.when(F.col("next") == 0, F.col("few0")).otherwise(F.col("few1"))).select("bucket", "set"), "left")
-    take = HUBS
-    while True:
-        here = scratch.keep(_labelled(left, labels), "here")
-        by = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = by.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-        main = scratch.keep(main.filter("others > 0"), "main")
-        if main.isEmpty():
-            break
-        here = scratch.keep(here.join(main, "bucket"), "here")
-        # About ``take`` of the sets outside the main component meet all others of their bucket, and are then done with it.
-        asking = (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64("set"), F.col("others")) < take)
-        ask = here.filter(asking).select("bucket", F.col("set").alias("b"), F.col("comp").alias("of"))
-        pairs = here.select("bucket", F.col("set").alias("a"), "comp").join(ask, "bucket").filter("comp <> of AND a <> b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = scratch.keep(_verified(_close(pairs, sets, share), texts, size, share), "links")
+    wide = scratch.keep(_wide(texts, size), "wide")
+    links = labels = None
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components so far."""
+        if labels is None:
+            return pairs
+        one = _labelled(pairs.withColumnRenamed("a", "set"), labels).select(F.col("set").alias("a"), F.col("b").alias("set"), F.col("comp").alias("other"), "far")
+        return _labelled(one, labels).filter("comp <> other").select("a", F.col("set").alias("b"), "far")
+
+    def test(pairs: DataFrame) -> None:
+        """Verifies pairs, and joins what links."""
+        nonlocal links, labels
+        more = scratch.keep(_verified(_likely(pairs, wide, share), texts, size, share), "links")
         if not more.isEmpty():
-            links = scratch.keep(links.unionByName(more), "links")
+            links = more if links is None else scratch.keep(links.unionByName(more), "links")
             labels = components(scratch, links)
-        left = scratch.keep(here.filter(~asking).select("bucket", "set"), "left")
-        take *= 8
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """The nearest pair of each set."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), F.struct("far", "a", "b").alias("p"))
+        return ends.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+
+    # The nearest pairs first, twice; they settle most of the others. Then all that are still apart.
+    comps = lambda: _labelled(hot, labels) if labels is not None else hot.withColumn("comp", F.col("set"))
+    most = hot.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    chunks = -(-(most or 1) // CHUNK)
+    done = None
+    for turn in range(2):
+        first = nearest(apart(close))
+        if most:
+            first = first.unionByName(nearest(_hot_hubs(scratch, comps(), sets, turn, chunks, share))).distinct()
+        first = scratch.keep(first, "nearest")
+        test(first)
+        done = first if done is None else done.unionByName(first)
+    left = apart(close).select("a", "b")
+    if most:
+        left = left.unionByName(_hot_pairs(scratch, comps(), sets, chunks, share).select("a", "b")).distinct()
+    left = scratch.keep(left.join(done, ["a", "b"], "left_anti"), "left")
+    if not left.isEmpty():
+        test(left)
+    if labels is None:
+        labels = sets.select("set", F.col("set").alias("comp"))
 
     named = _labelled(sets.select("set", "smallest"), labels)
     comps = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))
