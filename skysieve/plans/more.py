@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.operators import features, fires, grids, models, spatial, transport
+from skysieve.plans import objectives
 from skysieve.plans import views as V
 from skysieve.plans.views import FIVE, R4, r4
 from skysieve.sources import readers, synthetic
@@ -205,3 +206,21 @@ def stream_daily_index(spark: SparkSession, d: str) -> DataFrame:
     daily = stream.daily_index(source, FIVE).select("station", "day", "pm25")
     stream.to_parquet(daily, f"{root}/out", f"{root}/log").awaitTermination()
     return spark.read.schema("station LONG, day DATE, pm25 DOUBLE").parquet(f"{root}/out").filter("station >= 0").select("station", "day", r4(F.col("pm25")).alias("pm25"))
+
+
+def _world(spark: SparkSession, days: int, step: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    burnt = synthetic.fires(spark, "2023-10-01", days)
+    cube = synthetic.inject_fires(synthetic.grid(spark, "2023-10-01", days, step=step), burnt, step=step)
+    return cube, burnt, *synthetic.stations(spark, cube, 24, step=step)
+
+
+@query()
+def objective_surface_index(spark: SparkSession, d: str) -> DataFrame:
+    cube, burnt, reg, labels = _world(spark, 8, 4.0)
+    return objectives.surface_index(cube, reg, labels, burnt, pollutants=("pm25", "pm10", "no2"), trees=5, depth=4).grid
+
+
+@query()
+def objective_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    cube, burnt, _, _ = _world(spark, 14, 2.0)
+    return objectives.hotspots(cube, burnt, reach=6.0, votes=1).votes
