@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -86,6 +87,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between stages, and what they hoard counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, schema: T.StructType, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``mapInArrow`` over columns: ``per_batch`` gives a list or array for each output column."""
     ship(df.sparkSession)
@@ -102,6 +112,7 @@ def map_rows(df: DataFrame, schema: T.StructType, per_batch: Callable[[pa.Record
                 for n, x in ((n, out[n]) for n in names)
             ]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, field, map_rows
+from .common import Scratch, field, give_back, map_rows
 
 WORDS, SHARE = 5, (4, 5)
 COLD, LOCALLY_HOT, CHUNK, FEW_TEXTS = 64, 256, 256, 100_000
-SLICE_BYTES, FLUSH, MEMO = 24 << 20, 1_000_000, 500_000
+SLICE_BYTES, FLUSH, MEMO = 24 << 20, 500_000, 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -236,6 +236,7 @@ def _sign(batches: Iterator[pa.RecordBatch], schema: T.StructType, slices: int,
             yield pack(_blobs(sigs, sets, slices, locally_hot))
         for k in range(0, len(rows), 20_000):
             yield pack(rows[k : k + 20_000])
+    give_back()
 
 
 def _result_schema(id_field: T.StructField) -> T.StructType:

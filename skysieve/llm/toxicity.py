@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, field, map_rows
+from .common import Scratch, field, give_back, map_rows
 
 TRAIN_ROWS, MAX_ENTRIES = 20_000, 20_000
+#: Grams that a task counts before it hands them on.
+FLUSH = 200_000
 SHORTEST, LONGEST = 3, 10
 MIN_DOCS, MIN_Z, MIN_LOG_ODDS, CLEARLY, STRONG, ROUNDS = 4, 4.0, 1.0, 0.7, 0.3, 3
 
@@ -101,13 +103,22 @@ def _counted(sample: DataFrame) -> DataFrame:
     """(gram, toxic rows, clean rows) over the sample."""
     schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("p", T.LongType()), T.StructField("n", T.LongType())])
 
+    def flushed(by: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = list(by[0].keys() | by[1].keys())
+        out = [pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())]
+        by[0].clear()
+        by[1].clear()
+        return pa.RecordBatch.from_arrays(out, names=["gram", "p", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 by[toxic].update({g for w in set(fold(text.as_py()).split()) for g in grams(w)})
-        keys = list(by[0].keys() | by[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())], names=["gram", "p", "n"])
+                if len(by[0]) + len(by[1]) > FLUSH:
+                    yield flushed(by)
+        yield flushed(by)
+        give_back()
 
     return sample.select("text", "toxic").mapInArrow(count, schema).groupBy("gram").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter(F.col("p") >= MIN_DOCS)
 
