@@ -37,6 +37,10 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "credential", "bearer", "private", "signature", "access_key", "client_id")
 _CONTEXT = re.compile("|".join(CONTEXT_NAMES), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: From a sensitive name to its value, and a name with it: the rest of the identifier, a quote, blanks, a separator.
+_BEHIND = re.compile(r"""[A-Za-z0-9+/_.-]*["']?[ \t]*[:=]{1,2}[ \t]*["']?""")
+_NAMED = re.compile(f"(?:{_CONTEXT.pattern})[A-Za-z0-9+/_.-]{{0,48}}={{1,2}}", re.IGNORECASE | re.ASCII)
 
 #: Identifiers that code is full of; they prime the compressor.
 IDENTIFIERS = (
@@ -76,20 +80,40 @@ def pattern_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, i
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], *, reach: int = 48, around: int = 256, min_bytes: int = 10, min_ratio: float = 0.6) -> list[tuple[int, int, int]]:
-    """Incompressible strings at most ``reach`` characters behind a sensitive name."""
+    """Incompressible strings at most ``reach`` characters behind a sensitive name, its unquoted ``name=value`` included.
+
+    A run that is not novel itself is measured by parts where further sensitive
+    names are assigned to in it.
+    """
     out: list[tuple[int, int, int]] = []
     done = 0
+
+    def novel(a: int, b: int) -> bool:
+        if b - a < 16 or any(s < b and a < e for s, _, e in taken):
+            return False
+        added = marginal_bytes(text[max(0, a - around) : a], text[a:b], text[b : b + around])
+        return added >= min_bytes and added >= min_ratio * (b - a)
+
+    def measure(a: int, b: int) -> None:
+        if novel(a, b):
+            out.append((a, 3, b))
+        elif "=" in text[a:b] and (named := [m.span() for m in _NAMED.finditer(text, a, b)]):
+            cuts = sorted({a, b, *(x for span in named for x in span)})
+            out.extend((x, 3, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if novel(x, y))
+
     for name in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(done, name.end() - 1)):
+        end = name.end()
+        behind = _BEHIND.match(text, end, end + reach)
+        if behind and behind.end() >= done and (m := _RUN.match(text, behind.end())):
+            done = m.end()
+            measure(*m.span())
+        for m in _CANDIDATE.finditer(text, max(done, end - 1)):
             a, b = m.span()
-            if a > name.end() + reach:
+            if a > end + reach:
                 break
             done = b
-            if a < name.end() or any(s < b and a < e for s, _, e in taken):
-                continue
-            added = marginal_bytes(text[max(0, a - around) : a], m[0], text[b : b + around])
-            if added >= min_bytes and added >= min_ratio * (b - a):
-                out.append((a, 3, b))
+            if a >= end:
+                measure(a, b)
     return out
 
 

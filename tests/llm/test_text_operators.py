@@ -46,6 +46,25 @@ def test_novel_spans_are_incompressible():
     assert not [s for s in secret_scan.spans_of(f"nothing of note {key} here") if s[1] == 3]
 
 
+@pytest.mark.parametrize("name", [*secret_scan.CONTEXT_NAMES, "private_key", "client_id.v2", "AUTH_HEADER"])
+@pytest.mark.parametrize("form", ["{}={}", "export {}={}\n", "{} = {}", "{} ={}", "{}='{}'", "{}: {}", "https://h.example/x?{}={}&x=1", "Server=h;{}={};Pool=1"])
+def test_name_value_is_covered(name, form):
+    key = "kJ8s9dKs0dkLs82kslOq91"
+    text = form.format(name, key)
+    at = text.index(key)
+    assert [s for s in secret_scan.spans_of(text) if s[0] <= at and at + len(key) <= s[2]]
+
+
+def test_name_value_spans():
+    one, two = "kJ8s9dKs0dkLs82kslOq91", "Zt5Rw0Yb3Nq8Xc6V"
+    spans = lambda text: [text[a:b] for a, k, b in secret_scan.spans_of(text) if k == 3]
+    assert spans(f"pwd={one}") == [one]
+    assert spans(f"?client_id={one}&signature={two}&x") in ([one, two], [one, f"signature={two}"])
+    assert spans(f"auth=pwd={two} b") in ([two], [f"pwd={two}"])
+    assert spans(f"client_id={one}.token={two}") == [f"{one}."]
+    assert spans("pwd=aaaaaaaaaaaaaaaaaaaaaaaaaaaa") == spans("auth=authorization_connection_string") == spans(f"note={one}") == []
+
+
 def test_scan_and_redact(spark, documents, empty):
     out = rows_of(secret_scan.scan_secrets(documents, redact="[x]"))
     want = Counter((r.doc_id, tuple(plain_spans(r.text or ""))) for r in documents.collect())
