@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     known = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), digest.alias("digest"))
-    found = join_components(docs.select(known.alias("known"), "text"), id_col="known")
+    found = join_components(docs.select(known.alias("known"), "text"), id_col="known", links=False)
     first = found.filter("set_id IS NOT NULL AND known = component_id").select("known")
     stays = Scratch(spark, "stays").keep(first.groupBy("known").count(), "stays")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

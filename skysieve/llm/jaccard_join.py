@@ -16,15 +16,18 @@ space. A slice gives the buckets of sets that share a signature. Buckets of at
 most ``COLD`` sets stay together; larger ones are hot, and only needed for sets
 that have at most k signatures left without the hot ones.
 
-Only components are asked for, so not all links are tested: each set is first
+Components come first, and not all links are needed for them: each set is first
 verified with the nearest set it meets, and later rounds test only pairs that
 meet and are still in different components, which loses no link between
-components. Pairs are pruned by size and by a 512-bit parity sketch (both safe)
+components. Then links are counted: as no link leaves a component, its sets are
+compared all with all, in blocks of bounded size that meet in pairs; sets whose
+sizes rule a link out are in blocks that do not meet. Pairs are pruned by size and by a 512-bit parity sketch (both safe)
 where they meet, before rows are made of them, then verified by counting common
 shingles of the two texts; only texts in close pairs are fetched.
 
 Copies share a set id, so they cost nothing after the first pass. Nothing is
-broadcast; no group is ever held but a cold bucket, a slice, and a text pair.
+broadcast; no group is ever held but a cold bucket, a slice, a text pair, and a
+pair of blocks.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ from .common import Scratch, field, give_back, map_rows
 
 WORDS, SHARE = 5, (4, 5)
 COLD, LOCALLY_HOT, CHUNK, FEW_TEXTS = 64, 256, 256, 100_000
+BLOCK, BLOCK_ELEMENTS = 256, 256 << 10
 SLICE_BYTES, FLUSH, MEMO = 24 << 20, 500_000, 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -481,12 +485,87 @@ def _hot_pairs(scratch: Scratch, hot: DataFrame, sets: DataFrame, chunks: int, s
     return map_rows(met, _PAIR, lambda batch: _between(batch, share, False)).distinct()
 
 
-def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, share: tuple[int, int] = SHARE, cold: int = COLD, locally_hot: int = LOCALLY_HOT) -> DataFrame:
-    """One row per document row: id, n_shingles, set_id, component_id.
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements for all pairs of sets of x and y, over slices of the elements."""
+    sizes = [len(h) for h in (*x, *y)]
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.unique(np.concatenate([*x, *y]), return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    width = 8192
+    for low in range(0, int(at[-1]) + 1, width):
+        a, b = np.searchsorted(at, (low, low + width))
+        held = np.zeros((len(sizes), int(at[b - 1]) + 1 - low), np.float32)
+        held[who[a:b], at[a:b] - low] = 1
+        out += (held[: len(x)] @ held[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _counted(batch: pa.RecordBatch, share: tuple[int, int]) -> dict:
+    """(set, links): the documents of the sets that each set of a pair of blocks links with in the other block, or in the one block."""
+    sets, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in batch.column(0):
+        ids, copies, side = (row.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("set", "copies", "side"))
+        h = [np.frombuffer(x, np.uint64) for x in row.values.field("h").to_pylist()]
+        p = np.flatnonzero(side == 0)
+        q = np.flatnonzero(side == 1) if (two := bool((side != 2).all())) else np.arange(len(h))
+        if not two:
+            p = q
+        if not len(p) or not len(q):
+            continue
+        n = np.array([len(x) for x in h], np.int64)
+        common = _common([h[k] for k in p], [h[k] for k in q])
+        linked = common * share[1] >= (n[p][:, None] + n[q][None, :] - common) * share[0]
+        if two:
+            sets.append(ids[q])
+            links.append(copies[p] @ linked)
+        else:
+            np.fill_diagonal(linked, False)
+        sets.append(ids[p])
+        links.append(linked @ copies[q])
+    return {"set": np.concatenate(sets), "links": np.concatenate(links)}
+
+
+def _degrees(scratch: Scratch, labels: DataFrame, sets: DataFrame, texts: DataFrame, size: int, share: tuple[int, int], block: int) -> DataFrame:
+    """(set, links): in how many documents of other sets a set has links, for the sets with an edge.
+
+    A component of up to ``block`` sets is one block. Larger ones fall in size
+    bands, of which only neighbours can link, and bands in blocks.
+    """
+    ends = F.array(*(F.lit(int(e)) for e in _bands(share)))
+    mine = scratch.keep(labels.join(sets.select("set", "n", "copies"), "set").withColumn("band", F.size(F.filter(ends, lambda e: e < F.col("n")))), "linked")
+    big = mine.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > block) | (F.col("s") > BLOCK_ELEMENTS)).select("comp")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("long")
+    bands = mine.join(big, "comp").groupBy("comp", "band").agg(parts.alias("parts"))
+    bands = scratch.keep(bands.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts")), "bands")
+    of = lambda band: F.coalesce(F.try_element_at("parts", band), F.lit(0).cast("long"))
+    key = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.lit(side).alias("side"))
+    each = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda j: j < n), f)
+    band, chunk = F.col("band"), F.col("chunk")
+    same = each(of(band), lambda j: F.when(j > chunk, key(band, chunk, band, j, 0)).when(j < chunk, key(band, j, band, chunk, 1)).otherwise(key(band, j, band, j, 2)))
+    above = each(of(band + 1), lambda j: key(band, chunk, band + 1, j, 0))
+    below = each(of(band - 1), lambda j: key(band - 1, j, band, chunk, 1))
+    zero = F.lit(0).cast("long")
+    alone = F.array(key(F.lit(0), zero, F.lit(0), zero, 2))
+    rows = mine.join(bands, "comp", "left").withColumn("chunk", F.pmod(F.xxhash64("set"), F.greatest(of(band), F.lit(1))))
+    rows = rows.select("comp", "set", "copies", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(same, above, below))).alias("key"))
+
+    hashed = T.StructType([T.StructField("set", T.LongType()), T.StructField("h", T.BinaryType())])
+    hashes = map_rows(texts.join(labels.select("set"), "set", "left_semi").select("set", "text"), hashed, lambda batch: {"set": batch.column(0), "h": [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]})
+    met = rows.join(hashes, "set").groupBy("comp", "key.low", "key.i", "key.high", "key.j").agg(F.collect_list(F.struct("set", "copies", "key.side", "h")).alias("m"))
+    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("links", T.LongType())])
+    return scratch.keep(map_rows(met.select("m"), schema, lambda batch: _counted(batch, share)).groupBy("set").agg(F.sum("links").alias("links")), "degrees")
+
+
+def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, share: tuple[int, int] = SHARE, cold: int = COLD, locally_hot: int = LOCALLY_HOT, links: bool = True, block: int = BLOCK) -> DataFrame:
+    """One row per document row: id, n_shingles, set_id, n_links, component_id.
 
     Two documents link when their shingle sets' common part is at least
     ``share`` of their union; ``component_id`` is the smallest id reachable by
-    links, itself included. Documents with equal sets have one ``set_id``. Null
+    links, itself included; ``n_links`` is the number of other document rows it
+    links with, copies included, and is left out where ``links`` is false.
+    Documents with equal sets have one ``set_id``. Null
     and wordless texts have no set and link with nothing (their component is
     their own id). Null ids are no component's smallest unless there is no
     other. Repeated rows are copies. An empty table gives no rows.
@@ -504,7 +583,7 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     rows = gathered.filter("kind = 0").select("id", "n", "set", "key", "copy")
     one = F.min_by(F.struct("key", "copy", *(f.name for f in _SET)), F.struct("key", "copy")).alias("x")
-    sets = scratch.keep(gathered.filter("kind = 0 AND set IS NOT NULL").groupBy("set").agg(one, F.min("id").alias("smallest")).select("set", "smallest", "x.*"), "sets")
+    sets = scratch.keep(gathered.filter("kind = 0 AND set IS NOT NULL").groupBy("set").agg(one, F.min("id").alias("smallest"), F.count(F.lit(1)).alias("copies")).select("set", "smallest", "copies", "x.*"), "sets")
     buckets = scratch.keep(gathered.filter("kind = 1").select("members").distinct(), "buckets")
     hot = scratch.keep(_hot_sets(gathered.filter("kind = 2"), sets), "hot")
     sketched = F.struct("set", "n", *(f.name for f in _SKETCH), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("weight"))
@@ -520,7 +599,7 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts = scratch.keep(found.dropDuplicates(["set"]) if again else found, "texts")  # one text a set; repeated rows are rare
 
     wide = scratch.keep(_wide(texts, size), "wide")
-    links = labels = None
+    edges = labels = None
 
     def apart(pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components so far."""
@@ -531,11 +610,11 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     def test(pairs: DataFrame) -> None:
         """Verifies pairs, and joins what links."""
-        nonlocal links, labels
+        nonlocal edges, labels
         more = scratch.keep(_verified(_likely(pairs, wide, share), texts, size, share), "links")
         if not more.isEmpty():
-            links = more if links is None else scratch.keep(links.unionByName(more), "links")
-            labels = components(scratch, links)
+            edges = more if edges is None else scratch.keep(edges.unionByName(more), "links")
+            labels = components(scratch, edges)
 
     def nearest(pairs: DataFrame) -> DataFrame:
         """The nearest pair of each set."""
@@ -560,11 +639,15 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     left = scratch.keep(left.join(done, ["a", "b"], "left_anti"), "left")
     if not left.isEmpty():
         test(left)
+    degrees = None if labels is None or not links else _degrees(scratch, labels, sets, texts, size, share, block)
     if labels is None:
         labels = sets.select("set", F.col("set").alias("comp"))
 
-    named = _labelled(sets.select("set", "smallest"), labels)
+    named = _labelled(sets.select("set", "smallest", "copies"), labels)
     comps = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))
-    named = scratch.keep(named.join(comps, "comp").select("set", "component_id"), "named")
-    return rows.join(named, "set", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("set").alias("set_id"), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
+    named = named.join(comps, "comp").select("set", "component_id", (F.col("copies") - 1).alias("n_links"))
+    if degrees is not None:
+        named = named.join(degrees, "set", "left").select("set", "component_id", (F.col("n_links") + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = scratch.keep(named, "named")
+    counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []
+    return rows.join(named, "set", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("set").alias("set_id"), *counted, F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

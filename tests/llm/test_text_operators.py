@@ -164,6 +164,21 @@ def test_jaccard_components(documents, how):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 1}, {"cold": 2, "block": 3}])
+def test_jaccard_links(spark, documents, how):
+    """Each document's links are all counted, also inside a group of near copies with different texts."""
+    base = [f"n{k}" for k in range(100)]
+    near = [(1000 + k, " ".join([*base[: 3 * k], *(f"x{k}_{j}" for j in range(k % 4)), *base[3 * k + 1 :]])) for k in range(12)]
+    near += [(2000 + k, " ".join(base[: 100 - 4 * k])) for k in range(15)]  # a chain whose ends do not link
+    df = documents.select("doc_id", "text").unionByName(spark.createDataFrame([*near, near[0]], "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    sets = [frozenset(jaccard_join.shingles(t).tolist()) for _, t in rows]
+    linked = lambda a, b: bool(a) and 5 * len(a & b) >= 4 * len(a | b)
+    want = Counter((i, len(a), sum(linked(a, b) for b in sets) - bool(a)) for (i, _), a in zip(rows, sets, strict=True))
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in rows_of(jaccard_join.join_components(df, **how))) == want
+    assert max(n for _, _, n in want) > 10
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.join_components(empty).count() == 0
 
