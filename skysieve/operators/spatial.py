@@ -87,27 +87,30 @@ def local_moran(cells: DataFrame, weights: DataFrame, *, by: list[str] | None =
 def permutation_p(cells: DataFrame, weights: DataFrame, *, permutations: int = 199, seed: int = 42) -> DataFrame:
     """(id, pseudo_p): share of random neighbour draws with a mean at least as high (or low) as the cell's own.
 
-    Draws come from a value sample of at most ``permutations`` cells a draw; each
-    cell's draws are seeded by its id, so partitioning does not matter.
+    Draws come from all values, with replacement: values are numbered in the
+    order of their ids' digests, and draws are digests of seed, id, turn and place
+    modulo their number, so partitioning does not matter. Means are summed in the
+    values' order, so equal draws tie exactly.
     """
     rows = cells.withColumn("v", clean(F.col("v"))).filter("v IS NOT NULL").select("id", "v")
-    pool = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(POOL).select("v").collect()], float)
-    mean = weights.join(rows.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("c"), F.xxhash64(F.first("src")).alias("h"))
-
-    def draw(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for m, c, h in zip(pdf["m"], pdf["c"], pdf["h"], strict=True):
-                means = np.random.default_rng([seed, h & 0xFFFFFFFF]).choice(pool, size=(permutations, int(c))).mean(axis=1)
-                above = int((means >= m).sum())
-                out.append((min(above, permutations - above) + 1) / (permutations + 1))
-            yield pd.DataFrame({"id": pdf["id"], "pseudo_p": out})
-
-    kind = cells.schema["id"].dataType.simpleString()
-    return mean.mapInPandas(draw, f"id {kind}, pseudo_p double")
-
-
-POOL = 10_000
+    total = rows.count()
+    placed = rows.select("v", F.xxhash64("id").alias("h"), "id").withColumn("lot", F.pmod("h", F.lit(-(-total // LOT) or 1)))
+    lots = placed.groupBy("lot").agg(F.count(F.lit(1)).alias("c"))
+    before = lots.select("lot", (F.sum("c").over(Window.orderBy("lot")) - F.col("c")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("lot").orderBy("h", "id", "v")) - 1
+    numbered = placed.withColumn("within", within).join(before, "lot").select((F.col("before") + F.col("within")).alias("pick"), "v")
+
+    middle = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda s, v: s + v) / F.count(F.lit(1))
+    mean = weights.join(rows.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(middle.alias("m"), F.count(F.lit(1)).alias("c"))
+    turns = mean.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+    drawn = turns.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "id", "turn", "place"), F.lit(max(total, 1)))).join(numbered, "pick")
+    means = drawn.groupBy("id", "turn").agg(middle.alias("d"), F.first("m").alias("m"))
+    above = means.groupBy("id").agg(F.sum((F.col("d") >= F.col("m")).cast("long")).alias("above"))
+    return above.select("id", ((F.least("above", F.lit(permutations) - F.col("above")) + 1) / F.lit(permutations + 1)).alias("pseudo_p"))
+
+
+#: Values numbered in one group; only the groups' sizes are summed in one place.
+LOT = 10_000
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.01, *, by: list[str] | None = None, p: str = "p") -> DataFrame:

@@ -201,3 +201,15 @@ def test_readers(spark, tmp_path):
     assert len(sun) == 1 and 0.2 < sun[0].aod_550 < 0.4
     readers.write_geo_lines(spark.createDataFrame([(1, 10.0, 70.0)], "id int, lat double, lon double"), str(tmp_path / "g"))
     assert readers.read_geo_lines(spark, str(tmp_path / "g"), "id: int").first().lat == 10.0
+
+
+def test_permutations_draw_from_the_whole_field(spark):
+    """High values in the last cells by digest are drawn as often as others."""
+    ids = spark.range(12_000).withColumn("h", F.xxhash64("id")).orderBy("h").select("id").collect()
+    cells = spark.createDataFrame([(r.id, float(k >= 10_000)) for k, r in enumerate(ids)], "id long, v double")
+    low, high = ids[0].id, ids[-1].id
+    weights = spark.createDataFrame([(k, dst) for k in range(40) for dst in (low, high)], "src long, dst long")
+    got = {r.id: r.pseudo_p for r in spatial.permutation_p(cells, weights, permutations=99).collect()}
+    assert len(got) == 40 and abs(sum(got.values()) / 40 - (1 - (5 / 6) ** 2)) < 0.04
+    again = {r.id: r.pseudo_p for r in spatial.permutation_p(cells.repartition(7), weights.repartition(3), permutations=99).collect()}
+    assert again == got
