@@ -1,40 +1,49 @@
-"""Exact n-gram Jaccard join by PartEnum signatures, and its link components.
+"""Exact n-gram Jaccard join by PartEnum signatures, with every document's links and component.
 
 A text's set is its distinct shingles of words, as 64-bit hashes. Sets fall in
 size bands; a set signs for its own band and, where a larger partner may fall
 there, for the next. In a band two similar sets differ in at most k elements.
-The hash domain is cut in more than k ranges ("partitions"); of the partitions
-that hold elements of a set, at most k can differ in its partner, so if it has
-more than k of them the two agree on a whole partition, and the hash of that
-partition's elements is a signature they share. (This enumerates the one-element
-subsets of partitions, PartEnum with n2 = 1: the fewest signatures.) Sets with
-at most k filled partitions also sign their empty ones, under a mark of their
-own, so that two such sets meet too.
-
-Signatures travel as packed blobs, one row per task and slice of the signature
-space. A slice gives the buckets of sets that share a signature. Buckets of at
-most ``COLD`` sets stay together; larger ones are hot, and only needed for sets
-that have at most k signatures left without the hot ones.
-
-Components come first, and not all links are needed for them: each set is first
-verified with the nearest set it meets, and later rounds test only pairs that
-meet and are still in different components, which loses no link between
-components. Then links are counted: as no link leaves a component, its sets are
-compared all with all, in blocks of bounded size that meet in pairs; sets whose
-sizes rule a link out are in blocks that do not meet. Pairs are pruned by size and by a 512-bit parity sketch (both safe)
-where they meet, before rows are made of them, then verified by counting common
-shingles of the two texts; only texts in close pairs are fetched.
-
-Copies share a set id, so they cost nothing after the first pass. Nothing is
-broadcast; no group is ever held but a cold bucket, a slice, a text pair, and a
-pair of blocks.
+PartEnum cuts the hash domain in ranges ("partitions") and signs subsets of
+them, so that two sets that differ in few partitions agree on a whole subset:
+
+* Small sets (k up to 3): n2 > k partitions, and every subset of n2 - k of them
+  is enumerated. At most k partitions can differ, so one subset agrees.
+* Larger sets: more than k partitions, and the subsets are the single
+  partitions, the fewest signatures. Of the partitions that hold elements of a
+  set at most k can differ in its partner, so if it fills more than k of them the
+  two agree on a filled one.
+
+Sets that fill at most k partitions also sign their empty subsets, under a mark
+of their own, so that two such sets meet too.
+
+1. Signatures travel as packed blobs, one row per task and slice of the signature
+   space. A slice gives the buckets of sets that share a signature. Buckets of at
+   most ``COLD`` sets stay together; larger ones are hot, and only needed for sets
+   that have at most k signatures left without the hot ones.
+2. In a bucket, sets are close if size and a parity sketch, about two bits an
+   element, do not rule a link out. A bucket gives a spanning forest of its close
+   pairs, at most one row per member, found by walking from set to set: near
+   copies are settled by the first step. Large buckets are walked in chunks, then
+   in pairs of chunks as far as chunks hold different components.
+3. The components of the close pairs hold every link. Inside each, the common
+   elements of all pairs are counted at once, exactly, from the whole sets:
+   elements of one set are left out, frequent ones are multiplied as a matrix,
+   the others are joined by an inverted index. What leaves a task is a row per
+   set: its links, and the smallest set it reaches. Components beyond ``BLOCK``
+   sets or ``BLOCK_ELEMENTS`` elements fall in size bands, bands in blocks, and
+   blocks meet in pairs; their sets travel as differences from one set of the
+   component, which is far less than the sets where these are near copies.
+
+Copies share a set id, so they cost nothing after the first pass. No group is
+ever held but a slice, a chunk of a bucket, and a pair of blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +55,11 @@ from pyspark.sql import types as T
 from .common import Scratch, field, give_back, map_rows
 
 WORDS, SHARE = 5, (4, 5)
-COLD, LOCALLY_HOT, CHUNK, FEW_TEXTS = 64, 256, 256, 100_000
-BLOCK, BLOCK_ELEMENTS = 256, 256 << 10
+COLD, LOCALLY_HOT, CHUNK, FEW_TEXTS = 64, 256, 4096, 100_000
+BLOCK, BLOCK_ELEMENTS, STRIP = 4096, 1 << 20, 2 << 20
+SKETCH_BITS = (512, 65536)
+#: Partitions for small k, whose subsets are enumerated.
+ENUMERATED = {1: 3, 2: 5, 3: 6}
 SLICE_BYTES, FLUSH, MEMO = 24 << 20, 500_000, 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -101,55 +113,97 @@ def _bands(share: tuple[int, int]) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def plan(band: int, share: tuple[int, int]) -> tuple[int, int]:
-    """(k, partitions) for pairs of sets in this band, or in the one below and this."""
+def plan(band: int, share: tuple[int, int]) -> tuple[int, int, int]:
+    """(k, partitions, partitions in a signature) for pairs of sets in this band, or in the one below and this."""
     ends = _bands(share)
     low, high = int(ends[band - 1]) + 1 if band else 1, int(ends[band])
     below = low - 1
     a, b = share
     # Similar sets of x and y elements differ in at most (x + y) (b - a) / (b + a), and y <= x b / a.
     k = max(2 * high * (b - a) // (b + a), below * (b - a) // a)
+    if k in ENUMERATED:
+        return k, ENUMERATED[k], ENUMERATED[k] - k
     least = max(int(ends[band - 2]) + 1 if band > 1 else 1, -(-low * a // b))
     parts = k + 1
     while True:
         empty = math.exp(-least / parts)
         spread = math.sqrt(max(1e-9, parts * empty * (1 - (1 + least / parts) * empty)))
         if parts * (1 - empty) - 2.5 * spread >= k + 1 or parts > 8 * (k + 8):
-            return k, parts
+            return k, parts, 1
         parts += max(1, parts // 50)
 
 
+@lru_cache(maxsize=8)
+def _subsets(parts: int, take: int) -> np.ndarray:
+    """A row per subset of ``take`` of the partitions, 1 where a partition is in it."""
+    out = np.zeros((math.comb(parts, take), parts), np.uint64)
+    for row, members in enumerate(combinations(range(parts), take)):
+        out[row, list(members)] = 1
+    return out
+
+
 def signatures(h: np.ndarray, share: tuple[int, int]) -> list[tuple[np.ndarray, int, int]]:
-    """For the own band, then the next: (signatures, filled partitions, k). The lowest bit tells the two apart and is no part of the signature."""
+    """For the own band, then the next: (signatures, filled partitions, k). The lowest bit tells the two apart and is no part of the signature.
+
+    Where subsets are enumerated, a hot one leaves no count of agreeing
+    partitions to go by, so k stands for the filled partitions: such sets meet
+    in all their hot buckets.
+    """
     ends = _bands(share)
     own = int(np.searchsorted(ends, len(h)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _M))])
+    mixed = _mix(h ^ _M)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
     high = h >> np.uint64(32)
     out = []
     for which, band in enumerate((own, own + 1)):
         if which and len(h) * share[1] < (int(ends[own]) + 1) * share[0]:
             continue  # no partner that large
-        k, parts = plan(band, share)
+        k, parts, take = plan(band, share)
         of = ((high * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         total = sums[np.r_[first[1:], len(h)]] - sums[first]
         salt = np.uint64((band * 0x51ED2701 + 1) % 2**64)
-        sig = _mix(total ^ _mix(of[first].astype(np.uint64) * _M + salt))
+        if take > 1:
+            subsets = _subsets(parts, take)
+            each = np.zeros(parts, np.uint64)
+            each[of[first]] = total
+            filled = np.zeros(parts, np.uint64)
+            filled[of[first]] = 1
+            full = (subsets @ filled) > 0
+            at = np.arange(len(subsets), dtype=np.uint64)
+            sig = _mix((subsets[full] @ each) ^ _mix(at[full] * _M + salt))
+            empty, told = at[~full], k
+        else:
+            sig = _mix(total ^ _mix(of[first].astype(np.uint64) * _M + salt))
+            empty, told = np.setdiff1d(np.arange(parts), of[first]).astype(np.uint64), len(first)
         if len(first) <= k:
-            empty = np.setdiff1d(np.arange(parts), of[first]).astype(np.uint64)
             sig = np.concatenate([sig, _mix(_mix(empty * _M + salt) + np.uint64(0xABCDEF))])
-        out.append(((sig & ~np.uint64(1)) | np.uint64(which), len(first), k))
+        out.append(((sig & ~np.uint64(1)) | np.uint64(which), told, k))
     return out
 
 
-def sketch(h: np.ndarray, bits: int = 512) -> bytes:
-    """Parities of as many classes; two sets differ in at least as many elements as their sketches in bits."""
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of at least twice as many classes as elements (a power of two, within ``SKETCH_BITS``).
+
+    Two sets differ in at least as many elements as their sketches in bits.
+    """
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (2 * len(h) - 1).bit_length()))
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-_SKETCH = [T.StructField(f"s{k}", T.LongType()) for k in range(8)]
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """A row of words per sketch, all as short as the shortest: classes that fall together add their parities."""
+    width = min(len(x) for x in sketches) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for k, x in enumerate(sketches):
+        words = np.frombuffer(x, np.uint64)
+        out[k] = words if len(words) == width else np.bitwise_xor.reduce(words.reshape(-1, width), axis=0)
+    return out
+
+
 #: What a set is: size, filled partitions and k in its two bands, sketch.
-_SET = [T.StructField(x, T.LongType()) for x in ("n", "m0", "k0", "m1", "k1")] + _SKETCH
+_SET = [*(T.StructField(x, T.LongType()) for x in ("n", "m0", "k0", "m1", "k1")), T.StructField("sketch", T.BinaryType())]
 
 
 def _doc_schema(id_field: T.StructField) -> T.StructType:
@@ -229,7 +283,7 @@ def _sign(batches: Iterator[pa.RecordBatch], schema: T.StructType, slices: int,
                         sigs.append(s)
                         sets.append(own)
                         held += len(s)
-                    told |= {f"s{k}": v for k, v in enumerate(np.frombuffer(sketch(h), np.int64).tolist())}
+                    told["sketch"] = sketch(h)
                     done[own] = told
                 row |= {"set": own} | done[own]
             rows.append(row)
@@ -303,116 +357,54 @@ def _gather(table: pa.Table, schema: T.StructType, cold: int) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.DoubleType())])
-_MEMBER = T.StructType([T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), *_SKETCH, T.StructField("comp", T.LongType()), T.StructField("weight", T.LongType())])
-
-
-def _sketched(members) -> tuple[np.ndarray, ...]:
-    """(set, n, sketch words, comp) of an Arrow list of member structs."""
-    col = lambda name: members.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
-    return col("set"), col("n"), np.stack([col(f"s{k}") for k in range(8)], axis=1).view(np.uint64), col("comp")
+_MEMBER = T.StructType([T.StructField("slice", T.LongType()), T.StructField("group", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+_EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _distance(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], share: tuple[int, int]) -> np.ndarray:
-    """Differing sketch bits over the sizes' sum, for all pairs of x with y; infinite where size or sketch rule a link out."""
-    a, b = share
-    n, m = x[1][:, None], y[1][None, :]
-    differ = np.bitwise_count(x[2][:, None, :] ^ y[2][None, :, :]).sum(axis=2, dtype=np.int64)
-    near = (np.minimum(n, m) * b >= np.maximum(n, m) * a) & (differ * (a + b) <= (n + m) * (b - a))
-    return np.where(near, differ / (n + m), np.inf)
-
-
-def _rows_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
-    x, y, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, (np.int64, np.int64, float)[k]) for k in range(3))
-    return {"a": np.maximum(x, y), "b": np.minimum(x, y), "far": far}
-
-
-def _within(batch: pa.RecordBatch, share: tuple[int, int]) -> dict:
-    """Close pairs inside each bucket."""
-    found = []
-    for row in batch.column(0):
-        m = _sketched(row.values)
-        far = _distance(m, m, share)
-        i, j = np.nonzero(np.triu(np.isfinite(far), 1))
-        found.append((m[0][i], m[0][j], far[i, j]))
-    return _rows_of(found)
-
-
-def _between(batch: pa.RecordBatch, share: tuple[int, int], best: bool) -> dict:
-    """Close pairs of two lists of a bucket's sets in different components: all, or the nearest of the second list for each of the first."""
-    found = []
-    for p, q in zip(batch.column(0), batch.column(1), strict=True):
-        x, y = _sketched(p.values), _sketched(q.values)
-        far = np.where(x[3][:, None] != y[3][None, :], _distance(x, y, share), np.inf)
-        if best:
-            j = far.argmin(axis=1)
-            i = np.flatnonzero(np.isfinite(far[np.arange(len(j)), j]))
-            j = j[i]
-        else:
-            i, j = np.nonzero(np.isfinite(far))
-        found.append((x[0][i], y[0][j], far[i, j]))
-    return _rows_of(found)
-
-
-def _central(batch: pa.RecordBatch, share: tuple[int, int]) -> dict:
-    """The two sets of each chunk that are close to most others of it."""
-    buckets, degrees, members = [], [], []
-    for bucket, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        m = _sketched(row.values)
-        degree = np.isfinite(_distance(m, m, share)).sum(axis=1)
-        top = np.argsort(-degree, kind="stable")[:2]
-        buckets += [bucket] * len(top)
-        degrees += degree[top].tolist()
-        members += row.values.take(pa.array(top)).to_pylist()
-    return {"bucket": buckets, "degree": degrees, "member": members}
-
-
-def _wide(texts: DataFrame, size: int) -> DataFrame:
-    """(set, n, w): 4096 parities of each set, for a second and sharper filter."""
-    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
-
-    def parities(batch: pa.RecordBatch) -> dict:
-        hashes = [shingles(t.as_py(), size) for t in batch.column(1)]
-        return {"set": batch.column(0), "n": [len(h) for h in hashes], "w": [sketch(h, 4096) for h in hashes]}
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): rows sorted by the keys (the last first), and where groups of equal keys begin, with the end."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.r_[np.flatnonzero(new), len(order)]
 
-    return map_rows(texts, schema, parities)
 
-
-def _likely(pairs: DataFrame, wide: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs whose wide sketches do not differ in more bits than similar sets may differ in elements."""
+def _walk(n: np.ndarray, sketches: list[bytes], share: tuple[int, int]) -> list[tuple[int, np.ndarray]]:
+    """A spanning forest of the close pairs, as (root, others). Each set met is compared with those not met yet."""
     a, b = share
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    side = lambda p: wide.select(F.col("set").alias(p), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w"))
-
-    def keep(batch: pa.RecordBatch) -> dict:
-        if not len(batch):
-            return {"a": [], "b": []}
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (3, 5))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-        ok = pa.array(differ * (a + b) <= both * (b - a))
-        return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
-
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "aw", "bn", "bw")
-    return map_rows(joined, schema, keep)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs whose texts' sets have the share of shingles in common."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
+    words = _folded(sketches)
+    left = np.arange(len(n))
+    out = []
+    while len(left):
+        root, left, queue, found = int(left[0]), left[1:], [int(left[0])], []
+        while queue and len(left):
+            at = queue.pop()
+            differ = np.bitwise_count(words[left] ^ words[at]).sum(axis=1, dtype=np.int64)
+            m = n[left]
+            near = (np.minimum(m, n[at]) * b >= np.maximum(m, n[at]) * a) & (differ * (a + b) <= (m + n[at]) * (b - a))
+            if near.any():
+                found.append(left[near])
+                queue.extend(left[near].tolist())
+                left = left[~near]
+        if found:
+            out.append((root, np.concatenate(found)))
+    return out
 
-    def compare(batch: pa.RecordBatch) -> dict:
-        linked, kept = [], {}
-        for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if b not in kept:
-                kept = {b: shingles(y.as_py(), size)}  # pairs with one hub come in a row
-            p, q = shingles(x.as_py(), size), kept[b]
-            common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-            linked.append(common * share[1] >= (len(p) + len(q) - common) * share[0])
-        return {"a": batch.column(0), "b": batch.column(1), "linked": linked}
 
-    joined = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
-    return map_rows(joined.select("a", "b", "x", "y"), schema, compare).filter("linked").select("a", "b")
+def _forest(table: pa.Table, share: tuple[int, int]) -> pa.Table:
+    """A slice of buckets (or chunks of them, or pairs of chunks): edges that span the close pairs of each."""
+    group, chunk, ids, n = (table[c].to_numpy().astype(np.int64) for c in ("group", "chunk", "set", "n"))
+    order, edges = _groups(chunk, group)
+    sketches = table["sketch"].to_pylist()
+    ids, n, sketches = ids[order], n[order], [sketches[k] for k in order.tolist()]
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for root, others in _walk(n[lo:hi], sketches[lo:hi], share):
+            x.append(ids[lo + others])
+            y.append(np.full(len(others), ids[lo + root]))
+    return pa.table({"a": np.concatenate(x), "b": np.concatenate(y)})
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -430,11 +422,6 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``comp``; a set without links is its own."""
-    return rows.join(labels, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-
-
 def _hot_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(set, buckets): the hot buckets of the sets that have at most k signatures of a band without them."""
     mine = rows.groupBy("set").agg(F.collect_set(F.struct("bucket", "next")).alias("hot"))  # as many as a set has signatures
@@ -444,129 +431,240 @@ def _hot_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return mine.join(sets.select("set", "m0", "k0", "m1", "k1"), "set").select("set", kept.alias("buckets")).filter(F.size("buckets") > 0)
 
 
-def _members(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set, comp, buckets, member): what a hot set carries into its buckets."""
-    weights = hot.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-    rows = hot.join(weights, "comp").join(sets.select("set", "n", *(f.name for f in _SKETCH)), "set")
-    return rows.select("set", "comp", "weight", "buckets", F.struct(*_MEMBER.fieldNames()).alias("member"))
-
-
-def _hot_hubs(scratch: Scratch, hot: DataFrame, sets: DataFrame, turn: int, chunks: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b, far): each hot set with the nearest of its buckets' most central sets in another component, over an eighth of the buckets.
-
-    This only saves work, so central sets are few: whatever it misses is met later.
-    """
-    here = F.filter("buckets", lambda b: F.pmod(b, F.lit(8)) == turn)
-    rows = _members(hot, sets).withColumn("bucket", F.explode(here))
-    each = rows.groupBy("bucket", F.pmod(F.xxhash64("set"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("member").alias("m"))
-    each = scratch.keep(each, "chunks")
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("degree", T.LongType()), T.StructField("member", _MEMBER)])
-    central = map_rows(each.select("bucket", "m"), schema, lambda batch: _central(batch, share))
-    central = central.groupBy("bucket").agg(F.transform(F.slice(F.sort_array(F.collect_set(F.struct("degree", "member")), asc=False), 1, COLD), lambda x: x["member"]).alias("c"))
-    return map_rows(each.join(central, "bucket").select("m", "c"), _PAIR, lambda batch: _between(batch, share, True)).distinct()
-
-
-def _hot_pairs(scratch: Scratch, hot: DataFrame, sets: DataFrame, chunks: int, share: tuple[int, int]) -> DataFrame:
-    """All close pairs in different components that share a hot bucket.
-
-    A bucket's sets come in chunks; only buckets with two components go on, and
-    only chunk pairs with two. Each pair is met from its smaller component, so a
-    bucket that is one large component and a few strays costs its size times the
-    strays.
-    """
-    spread = F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.least(F.col("weight"), F.lit(chunks)))), F.lit(chunks))
-    each = _members(hot, sets).withColumn("bucket", F.explode("buckets")).groupBy("bucket", spread.alias("chunk"))
+def _sliced(rows: DataFrame, key: tuple[str, ...], size: F.Column, kernel: Callable[[pa.Table], pa.Table], schema: T.StructType, scratch: Scratch, name: str) -> DataFrame:
+    """Runs ``kernel`` over slices of whole groups. ``rows`` are written first, so that their bytes give the number of slices."""
+    rows = scratch.keep(rows, name)
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    slices = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SLICE_BYTES)
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64(*key), F.lit(slices)).cast("long"))
+    return dealt.groupBy("slice").applyInArrow(kernel, schema)
+
+
+def _close(scratch: Scratch, buckets: DataFrame, hot: DataFrame, sets: DataFrame, share: tuple[int, int], chunk: int) -> DataFrame | None:
+    """(a, b) that span the close pairs of all buckets, or None where nothing is close."""
+    known = sets.select("set", "n", "sketch")
+    weigh = F.octet_length("sketch") + F.lit(40)
+    forest = lambda t: _forest(t, share)
+    cold = buckets.select(F.xxhash64("members").alias("group"), F.lit(0).cast("long").alias("chunk"), F.explode("members").alias("set"))
+    warm = scratch.keep(hot.select("set", F.explode("buckets").alias("group")), "hot-rows")
+    sizes = warm.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > chunk).select("group", F.ceil(F.col("c") / chunk).cast("long").alias("parts"))
+    sizes = scratch.keep(sizes, "large")
+    large = not sizes.isEmpty()
+    if large:
+        warm = warm.join(sizes, "group", "left")
+        part = F.pmod(F.xxhash64("set", "group"), F.coalesce("parts", F.lit(1).cast("long")))
+    else:
+        part = F.lit(0).cast("long")
+    rows = cold.select("group", "chunk", "set").unionByName(warm.select("group", part.alias("chunk"), "set")).join(known, "set")
+    edges = scratch.keep(_sliced(rows, ("group", "chunk"), weigh, forest, _EDGE, scratch, "members").distinct(), "forest")
+    if edges.isEmpty():
+        edges = None
+    if not large:
+        return edges
+
+    # Large buckets: pairs of chunks that hold different components. A small component stays in one chunk, and each pair is
+    # met from its smaller component, so a large component and a few strays cost the component's size times the strays' chunks.
+    inside = warm.filter("parts IS NOT NULL")
+    inside = inside.withColumn("comp", F.col("set")) if edges is None else _labelled(inside, components(scratch, edges))
+    weights = inside.select("comp", "set").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    spread = F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.least("weight", "parts"))), F.col("parts"))
+    inside = scratch.keep(inside.join(weights, "comp").select("group", "set", "comp", "weight", spread.alias("chunk")), "inside")
     order = F.struct("weight", "comp")
-    each = scratch.keep(each.agg(F.collect_list("member").alias("m"), F.min(order).alias("low"), F.max(order).alias("high")), "chunks")
-    open_ = each.groupBy("bucket").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("bucket")
-    here = scratch.keep(each.join(open_, "bucket"), "open")
-    side = lambda p: here.select("bucket", F.col("chunk").alias(f"{p}_chunk"), F.col("m").alias(p), F.col("low").alias(f"{p}_low"), F.col("high").alias(f"{p}_high"))
-    met = side("p").join(side("q"), "bucket").filter("p_low < q_high AND p_chunk <> q_chunk OR p_chunk = q_chunk AND p_low <> p_high").select("p", "q")
-    return map_rows(met, _PAIR, lambda batch: _between(batch, share, False)).distinct()
-
-
-def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Numbers of common elements for all pairs of sets of x and y, over slices of the elements."""
-    sizes = [len(h) for h in (*x, *y)]
-    who = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.unique(np.concatenate([*x, *y]), return_inverse=True)[1]
-    order = np.argsort(at, kind="stable")
-    at, who = at[order], who[order]
-    out = np.zeros((len(x), len(y)), np.int64)
-    width = 8192
-    for low in range(0, int(at[-1]) + 1, width):
-        a, b = np.searchsorted(at, (low, low + width))
-        held = np.zeros((len(sizes), int(at[b - 1]) + 1 - low), np.float32)
-        held[who[a:b], at[a:b] - low] = 1
-        out += (held[: len(x)] @ held[len(x) :].T).astype(np.int64)
-    return out
+    each = scratch.keep(inside.groupBy("group", "chunk").agg(F.min(order).alias("low"), F.max(order).alias("high")), "chunks")
+    side = lambda p: each.select("group", F.col("chunk").alias(p), F.col("low").alias(f"{p}_low"), F.col("high").alias(f"{p}_high"))
+    met = side("p").join(side("q"), "group").filter("p_low < q_high AND p <> q OR p = q AND p_low <> p_high")
+    met = met.select("group", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    ends = met.select("group", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("chunk"))
+    pairs = inside.join(ends, ["group", "chunk"]).select(F.xxhash64("group", "p").alias("group"), F.col("q").alias("chunk"), "set").join(known, "set")
+    more = scratch.keep(_sliced(pairs, ("group", "chunk"), weigh, forest, _EDGE, scratch, "pairs").distinct(), "forest")
+    if more.isEmpty():
+        return edges
+    return more if edges is None else edges.unionByName(more)
 
 
-def _counted(batch: pa.RecordBatch, share: tuple[int, int]) -> dict:
-    """(set, links): the documents of the sets that each set of a pair of blocks links with in the other block, or in the one block."""
-    sets, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for row in batch.column(0):
-        ids, copies, side = (row.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("set", "copies", "side"))
-        h = [np.frombuffer(x, np.uint64) for x in row.values.field("h").to_pylist()]
-        p = np.flatnonzero(side == 0)
-        q = np.flatnonzero(side == 1) if (two := bool((side != 2).all())) else np.arange(len(h))
-        if not two:
-            p = q
-        if not len(p) or not len(q):
-            continue
-        n = np.array([len(x) for x in h], np.int64)
-        common = _common([h[k] for k in p], [h[k] for k in q])
-        linked = common * share[1] >= (n[p][:, None] + n[q][None, :] - common) * share[0]
-        if two:
-            sets.append(ids[q])
-            links.append(copies[p] @ linked)
-        else:
-            np.fill_diagonal(linked, False)
-        sets.append(ids[p])
-        links.append(linked @ copies[q])
-    return {"set": np.concatenate(sets), "links": np.concatenate(links)}
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``comp``; a set without links is its own."""
+    return rows.join(labels, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+
 
+class Shared:
+    """How many elements sets have in common, for strips of sets against all.
 
-def _degrees(scratch: Scratch, labels: DataFrame, sets: DataFrame, texts: DataFrame, size: int, share: tuple[int, int], block: int) -> DataFrame:
-    """(set, links): in how many documents of other sets a set has links, for the sets with an edge.
+    Elements that many sets hold are multiplied as a matrix; for the others the
+    holders of each are listed. Elements of one set play no part.
+    """
 
-    A component of up to ``block`` sets is one block. Larger ones fall in size
-    bands, of which only neighbours can link, and bands in blocks.
+    def __init__(self, sets: list[np.ndarray]):
+        self.total = len(sets)
+        elements = np.concatenate(sets)
+        who = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        order = np.argsort(elements, kind="stable")
+        elements, who = elements[order], who[order]
+        first = np.flatnonzero(np.r_[True, elements[1:] != elements[:-1]][: len(elements)])
+        held = np.diff(np.r_[first, len(elements)])
+        often = max(8, len(sets) // 16)
+        of = np.repeat(np.arange(len(held)), held)
+        many = held[of] > often
+        columns = np.cumsum(held > often) - 1
+        self.dense = np.zeros((len(sets), int((held > often).sum())), np.float32)
+        self.dense[who[many], columns[of[many]]] = 1
+        few = (held[of] > 1) & ~many
+        self.holders = who[few]
+        start = np.cumsum(np.r_[0, held * ((held > 1) & (held <= often))])
+        entry = np.argsort(self.holders, kind="stable")
+        self.by_set = np.searchsorted(self.holders[entry], np.arange(len(sets) + 1))
+        self.start, self.held = start[of[few]][entry], held[of[few]][entry]
+
+    def strip(self, low: int, high: int) -> np.ndarray:
+        """Common elements of the sets low to high with every set."""
+        out = (self.dense[low:high] @ self.dense.T).astype(np.int64)
+        flat = out.ravel()
+        at, stop = int(self.by_set[low]), int(self.by_set[high])
+        while at < stop:
+            upto = at + max(1, int(np.searchsorted(np.cumsum(self.held[at:stop]), STRIP)))
+            held = self.held[at:upto]
+            place = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.start[at:upto], held)
+            row = np.searchsorted(self.by_set, np.arange(at, upto), side="right") - 1 - low
+            flat += np.bincount(np.repeat(row, held) * self.total + self.holders[place], minlength=len(flat))
+            at = upto
+        return out
+
+
+def links_of(sets: list[np.ndarray], n: np.ndarray, copies: np.ndarray, share: tuple[int, int], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each set: documents of other sets it links with, and the first set it reaches.
+
+    ``sets`` are the sets, or all their differences from one base; ``n`` are the
+    sets' own sizes. With ``split``, only pairs across that place count.
     """
+    a, b = share
+    total = len(sets)
+    common = Shared(sets)
+    # With d differing elements: link if (n + m - d) b >= (n + m + d) a, and d is what differs from the base, less twice what is common.
+    own = n * (b - a) - np.array([len(h) for h in sets], np.int64) * (a + b)
+    links, root, weight = np.zeros(total, np.int64), np.arange(total), copies.astype(np.float64)
+    height = max(1, min(total, STRIP // total))
+    for low in range(0, total if split is None else split, height):
+        high = min(low + height, total if split is None else split)
+        linked = common.strip(low, high) * (2 * (a + b)) + own[low:high, None] + own[None, :] >= 0
+        if split is None:
+            linked[np.arange(high - low), np.arange(low, high)] = False
+        else:
+            linked[:, :split] = False
+            links += (weight[low:high] @ linked).astype(np.int64)
+        links[low:high] += (linked @ weight).astype(np.int64)
+        for row in range(high - low):
+            mine = root[low + row]
+            theirs = root[linked[row]]
+            theirs = theirs[theirs != mine]
+            if len(theirs):
+                joined = np.unique(np.r_[theirs, mine])
+                root[np.isin(root, joined)] = joined[0]
+    return links, root
+
+
+_PLACE = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("high", T.IntegerType()), T.StructField("j", T.LongType()), T.StructField("side", T.IntegerType())])
+_FETCHED = T.StructType([
+    T.StructField("comp", T.LongType()), T.StructField("places", T.ArrayType(_PLACE)), T.StructField("set", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("copies", T.LongType()), T.StructField("h", T.BinaryType()),
+])
+_LINKED = T.StructType([T.StructField("set", T.LongType()), T.StructField("links", T.LongType()), T.StructField("root", T.LongType()), T.StructField("whole", T.BooleanType())])
+
+
+def _linked(table: pa.Table, share: tuple[int, int]) -> pa.Table:
+    """A slice of components or pairs of their blocks: links and root of each set. Rows that stand twice count once."""
+    comp, group, ids, n, copies, side = (table[c].to_numpy().astype(np.int64) for c in ("comp", "group", "set", "n", "copies", "side"))
+    order, edges = _groups(ids, side, group, comp)
+    starts = order[edges[:-1]]
+    comp, group, ids, n, copies, side = (x[starts] for x in (comp, group, ids, n, copies, side))
+    packed = table["h"].take(pa.array(starts)).to_pylist()
+    _, edges = _groups(group, comp)  # in order already
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = side[lo:hi]
+        split = None if own[0] == 2 else int((own == 0).sum())
+        if split in (0, hi - lo):
+            continue  # a block that met no other
+        links, root = links_of([np.frombuffer(h, np.uint64) for h in packed[lo:hi]], n[lo:hi], copies[lo:hi], share, split)
+        out.append((ids[lo:hi], links, ids[lo:hi][root], group[lo:hi] == 0))
+    kinds = {"set": np.int64, "links": np.int64, "root": np.int64, "whole": bool}
+    return pa.table({c: np.concatenate([x[k] for x in out]) if out else np.zeros(0, t) for k, (c, t) in enumerate(kinds.items())})
+
+
+def _places(scratch: Scratch, mine: DataFrame, block: int, share: tuple[int, int]) -> DataFrame:
+    """Adds ``places``: the pairs of blocks in which a set of a large component meets others; null in the others.
+
+    Components of more than ``block`` sets or ``BLOCK_ELEMENTS`` elements fall in
+    size bands, of which only neighbours can link, and bands in blocks.
+    """
+    large = mine.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > block) | (F.col("s") > BLOCK_ELEMENTS))
+    large = scratch.keep(large.select("comp"), "large")
+    if large.isEmpty():
+        return mine.withColumn("places", F.lit(None).cast(T.ArrayType(_PLACE)))
     ends = F.array(*(F.lit(int(e)) for e in _bands(share)))
-    mine = scratch.keep(labels.join(sets.select("set", "n", "copies"), "set").withColumn("band", F.size(F.filter(ends, lambda e: e < F.col("n")))), "linked")
-    big = mine.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > block) | (F.col("s") > BLOCK_ELEMENTS)).select("comp")
+    mine = mine.withColumn("band", F.size(F.filter(ends, lambda e: e < F.col("n"))))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("long")
-    bands = mine.join(big, "comp").groupBy("comp", "band").agg(parts.alias("parts"))
+    bands = mine.join(large, "comp").groupBy("comp", "band").agg(parts.alias("parts"))
     bands = scratch.keep(bands.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts")), "bands")
     of = lambda band: F.coalesce(F.try_element_at("parts", band), F.lit(0).cast("long"))
     key = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.lit(side).alias("side"))
     each = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda j: j < n), f)
-    band, chunk = F.col("band"), F.col("chunk")
+    band, chunk = F.col("band"), F.col("part")
     same = each(of(band), lambda j: F.when(j > chunk, key(band, chunk, band, j, 0)).when(j < chunk, key(band, j, band, chunk, 1)).otherwise(key(band, j, band, j, 2)))
     above = each(of(band + 1), lambda j: key(band, chunk, band + 1, j, 0))
     below = each(of(band - 1), lambda j: key(band - 1, j, band, chunk, 1))
-    zero = F.lit(0).cast("long")
-    alone = F.array(key(F.lit(0), zero, F.lit(0), zero, 2))
-    rows = mine.join(bands, "comp", "left").withColumn("chunk", F.pmod(F.xxhash64("set"), F.greatest(of(band), F.lit(1))))
-    rows = rows.select("comp", "set", "copies", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(same, above, below))).alias("key"))
-
-    hashed = T.StructType([T.StructField("set", T.LongType()), T.StructField("h", T.BinaryType())])
-    hashes = map_rows(texts.join(labels.select("set"), "set", "left_semi").select("set", "text"), hashed, lambda batch: {"set": batch.column(0), "h": [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]})
-    met = rows.join(hashes, "set").groupBy("comp", "key.low", "key.i", "key.high", "key.j").agg(F.collect_list(F.struct("set", "copies", "key.side", "h")).alias("m"))
-    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("links", T.LongType())])
-    return scratch.keep(map_rows(met.select("m"), schema, lambda batch: _counted(batch, share)).groupBy("set").agg(F.sum("links").alias("links")), "degrees")
-
-
-def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, share: tuple[int, int] = SHARE, cold: int = COLD, locally_hot: int = LOCALLY_HOT, links: bool = True, block: int = BLOCK) -> DataFrame:
+    rows = mine.join(bands, "comp", "left").withColumn("part", F.pmod(F.xxhash64("set"), F.greatest(of(band), F.lit(1))))
+    return rows.withColumn("places", F.when(F.col("parts").isNotNull(), F.concat(same, above, below)).cast(T.ArrayType(_PLACE))).drop("band", "part", "parts")
+
+
+def _exact(scratch: Scratch, mine: DataFrame, docs: DataFrame, size: int, share: tuple[int, int], block: int) -> DataFrame:
+    """(set, links, comp) for the sets with a close pair: the documents of other sets that each links with, and its component."""
+    mine = scratch.keep(_places(scratch, mine, block, share), "placed")
+    few = F.broadcast(mine) if mine.count() <= FEW_TEXTS else mine
+
+    def hashed(batch: pa.RecordBatch) -> dict:
+        ids = batch.column(0).to_numpy()
+        first = np.sort(np.unique(ids, return_index=True)[1])  # repeated rows
+        batch = batch.take(pa.array(first))
+        return {
+            **{c: batch.column(c) for c in ("comp", "places", "set", "n", "copies")},
+            "h": [shingles(t.as_py(), size).tobytes() for t in batch.column("text")],
+        }
+
+    found = docs.filter("text IS NOT NULL").select("key", "copy", "text").join(few, ["key", "copy"])
+    fetched = scratch.keep(map_rows(found.select("set", "comp", "places", "n", "copies", "text"), _FETCHED, hashed), "hashes")
+    cols = ("comp", "group", "side", "set", "n", "copies", "h")
+    rows = fetched.filter("places IS NULL").withColumns({"group": F.lit(0).cast("long"), "side": F.lit(2)}).select(*cols)
+    large = fetched.filter("places IS NOT NULL")
+    if not large.isEmpty():
+        base = large.groupBy("comp").agg(F.min_by("h", "set").alias("base"))
+        told = T.StructType([*(f for f in _FETCHED if f.name != "comp"), T.StructField("comp", T.LongType())])
+
+        def differing(batch: pa.RecordBatch) -> dict:
+            made = [np.setxor1d(np.frombuffer(h, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True).tobytes() for h, b in zip(batch.column("h").to_pylist(), batch.column("base").to_pylist(), strict=True)]
+            return {**{c: batch.column(c) for c in ("comp", "places", "set", "n", "copies")}, "h": made}
+
+        apart = map_rows(large.join(base, "comp"), told, differing).withColumn("place", F.explode("places"))
+        group = F.xxhash64("place.low", "place.i", "place.high", "place.j").bitwiseOR(F.lit(1))  # 0 is a whole component
+        rows = rows.unionByName(apart.withColumns({"group": group, "side": F.col("place.side")}).select(*cols))
+    found = _sliced(rows, ("comp", "group"), F.octet_length("h") + F.lit(64), lambda t: _linked(t, share), _LINKED, scratch, "met")
+    found = scratch.keep(found, "linked")
+    whole = found.filter("whole").select("set", "links", F.col("root").alias("comp"))
+    part = found.filter("NOT whole")
+    if part.isEmpty():
+        return whole
+    edges = scratch.keep(part.filter("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")).distinct(), "edges")
+    summed = part.groupBy("set").agg(F.sum("links").alias("links"))
+    return whole.unionByName((_labelled(summed, components(scratch, edges)) if not edges.isEmpty() else summed.withColumn("comp", F.col("set"))).select("set", "links", "comp"))
+
+
+def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, share: tuple[int, int] = SHARE, cold: int = COLD, locally_hot: int = LOCALLY_HOT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """One row per document row: id, n_shingles, set_id, n_links, component_id.
 
     Two documents link when their shingle sets' common part is at least
     ``share`` of their union; ``component_id`` is the smallest id reachable by
     links, itself included; ``n_links`` is the number of other document rows it
-    links with, copies included, and is left out where ``links`` is false.
-    Documents with equal sets have one ``set_id``. Null
-    and wordless texts have no set and link with nothing (their component is
+    links with, copies included. Documents with equal sets have one ``set_id``.
+    Null and wordless texts have no set and link with nothing (their component is
     their own id). Null ids are no component's smallest unless there is no
     other. Repeated rows are copies. An empty table gives no rows.
     """
@@ -581,73 +679,20 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     signed = docs.mapInArrow(lambda it: _sign(it, first, slices, size, share, locally_hot), first)
     gathered = scratch.keep(signed.groupBy("slice").applyInArrow(lambda t: _gather(t, result, cold), result), "gathered")
 
-    rows = gathered.filter("kind = 0").select("id", "n", "set", "key", "copy")
+    rows = gathered.filter("kind = 0").select("id", "n", "set")
     one = F.min_by(F.struct("key", "copy", *(f.name for f in _SET)), F.struct("key", "copy")).alias("x")
     sets = scratch.keep(gathered.filter("kind = 0 AND set IS NOT NULL").groupBy("set").agg(one, F.min("id").alias("smallest"), F.count(F.lit(1)).alias("copies")).select("set", "smallest", "copies", "x.*"), "sets")
-    buckets = scratch.keep(gathered.filter("kind = 1").select("members").distinct(), "buckets")
-    hot = scratch.keep(_hot_sets(gathered.filter("kind = 2"), sets), "hot")
-    sketched = F.struct("set", "n", *(f.name for f in _SKETCH), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("weight"))
-    members = buckets.select(F.xxhash64("members").alias("bucket"), F.size("members").alias("size"), F.explode("members").alias("set")).join(sets.select("set", "n", *(f.name for f in _SKETCH)), "set")
-    members = members.groupBy("bucket", "size").agg(F.collect_list(sketched).alias("m")).select("m")
-    close = scratch.keep(map_rows(members, _PAIR, lambda batch: _within(batch, share)).distinct(), "close")
-
-    wanted = close.select(F.explode(F.array("a", "b")).alias("set")).unionByName(hot.select("set")).distinct()
-    active = scratch.keep(sets.join(wanted, "set", "left_semi").select("set", "key", "copy"), "active")
-    again = not rows.join(active, ["set", "key", "copy"], "left_semi").groupBy("set", "key", "copy").count().filter("count > 1").isEmpty()
-    few = F.broadcast(active) if active.count() <= FEW_TEXTS else active
-    found = docs.filter("text IS NOT NULL").select("key", "copy", "text").join(few, ["key", "copy"]).select("set", "text")
-    texts = scratch.keep(found.dropDuplicates(["set"]) if again else found, "texts")  # one text a set; repeated rows are rare
-
-    wide = scratch.keep(_wide(texts, size), "wide")
-    edges = labels = None
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components so far."""
-        if labels is None:
-            return pairs
-        one = _labelled(pairs.withColumnRenamed("a", "set"), labels).select(F.col("set").alias("a"), F.col("b").alias("set"), F.col("comp").alias("other"), "far")
-        return _labelled(one, labels).filter("comp <> other").select("a", F.col("set").alias("b"), "far")
-
-    def test(pairs: DataFrame) -> None:
-        """Verifies pairs, and joins what links."""
-        nonlocal edges, labels
-        more = scratch.keep(_verified(_likely(pairs, wide, share), texts, size, share), "links")
-        if not more.isEmpty():
-            edges = more if edges is None else scratch.keep(edges.unionByName(more), "links")
-            labels = components(scratch, edges)
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        """The nearest pair of each set."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), F.struct("far", "a", "b").alias("p"))
-        return ends.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-
-    # The nearest pairs first, twice; they settle most of the others. Then all that are still apart.
-    comps = lambda: _labelled(hot, labels) if labels is not None else hot.withColumn("comp", F.col("set"))
-    most = hot.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().agg(F.max("count")).first()[0]
-    chunks = -(-(most or 1) // CHUNK)
-    done = None
-    for turn in range(2):
-        first = nearest(apart(close))
-        if most:
-            first = first.unionByName(nearest(_hot_hubs(scratch, comps(), sets, turn, chunks, share))).distinct()
-        first = scratch.keep(first, "nearest")
-        test(first)
-        done = first if done is None else done.unionByName(first)
-    left = apart(close).select("a", "b")
-    if most:
-        left = left.unionByName(_hot_pairs(scratch, comps(), sets, chunks, share).select("a", "b")).distinct()
-    left = scratch.keep(left.join(done, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        test(left)
-    degrees = None if labels is None or not links else _degrees(scratch, labels, sets, texts, size, share, block)
-    if labels is None:
-        labels = sets.select("set", F.col("set").alias("comp"))
-
-    named = _labelled(sets.select("set", "smallest", "copies"), labels)
-    comps = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))
-    named = named.join(comps, "comp").select("set", "component_id", (F.col("copies") - 1).alias("n_links"))
-    if degrees is not None:
-        named = named.join(degrees, "set", "left").select("set", "component_id", (F.col("n_links") + F.coalesce("links", F.lit(0))).alias("n_links"))
-    named = scratch.keep(named, "named")
-    counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []
-    return rows.join(named, "set", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("set").alias("set_id"), *counted, F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    buckets = gathered.filter("kind = 1").select("members").distinct()
+    edges = _close(scratch, buckets, _hot_sets(gathered.filter("kind = 2"), sets), sets, share, chunk)
+    named = sets.select("set", "smallest", "copies")
+    if edges is None:
+        named = named.select("set", F.col("smallest").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    else:
+        mine = components(scratch, edges).join(sets.select("set", "key", "copy", "n", "copies"), "set")
+        named = named.join(_exact(scratch, mine, docs, size, share, block), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+        named = scratch.keep(named, "named")
+        least = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))
+        named = named.join(least, "comp").select("set", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = scratch.keep(named, "components")
+    answer = F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return rows.join(named, "set", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("set").alias("set_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), answer.alias("component_id"))
