@@ -27,7 +27,7 @@ def _carried(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the lexicon, learned on these rows and their labels, does not call toxic."""
     lexicon = fit(docs, table(spark, sf_dir, "labels"))
-    return score(_carried(docs), lexicon, id_col="row").filter("predicted = 0").select("row.*")
+    return score(_carried(docs), lexicon, id_col="row", held_out=False).filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     known = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), digest.alias("digest"))
-    found = join_components(docs.select(known.alias("known"), "text"), id_col="known", links=False)
+    found = join_components(docs.select(known.alias("known"), "text"), id_col="known")
     first = found.filter("set_id IS NOT NULL AND known = component_id").select("known")
     stays = Scratch(spark, "stays").keep(first.groupBy("known").count(), "stays")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
