@@ -8,19 +8,21 @@ Consecutive windows with one anchor form a segment, about one per 185 bytes.
    whole. Segments whose anchor is unique repeat nowhere. What is left are
    segments that share an anchor but differ: the edges of repeats.
 2. Their bytes are fetched and meet by anchor again. Each bounded collection
-   gets a suffix array, from it the run-compressed Burrows-Wheeler transform
-   with text positions sampled at run starts and ends. Longest matches are
-   computed at the samples only and streamed through the text (they fall by
-   one from byte to byte between samples): matching statistics of the
-   collection against itself, to both neighbours in suffix order. Windows that
-   match ``length`` bytes elsewhere are marked.
+   gets a run-length index: the Burrows-Wheeler transform as run heads and
+   lengths, with the text positions of run starts and ends and the longest
+   matches there; the suffix array is dropped once runs are known. Matching
+   statistics of the collection against itself, to both neighbours in suffix
+   order, are streamed out of these samples (they fall by one from byte to byte
+   between samples). Windows that match ``length`` bytes elsewhere are marked.
 3. Anchors that more than ``HOT`` different segments share (a passage in very
    many texts) would make a collection of unbounded size; their windows meet
    one by one instead, by a 128-bit digest, summed in tasks first.
 4. Marks are joined to the texts, merged and cut out.
 
-Texts are known by a digest of their bytes, so copies share marks. Everything
-is shuffled by hash in bounded groups; nothing is broadcast or collected.
+Texts are known by a digest of their bytes, so copies share marks: a text that
+stands in two rows repeats as a whole, and one of its rows stands for all as a
+partner of others. Everything is shuffled by hash in bounded groups; nothing is
+broadcast or collected.
 """
 
 from __future__ import annotations
@@ -123,6 +125,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     place) packed in one number.
     """
     n = len(text)
+    if n >= 1 << 21:
+        raise ValueError(f"{n} bytes are too many for one index")
     low = np.uint64((1 << 21) - 1)
     place = np.arange(n, dtype=np.uint64)
     five = _words(text).byteswap() >> np.uint64(24)
@@ -169,30 +173,46 @@ def _separator(k: int) -> bytes:
     return bytes(0xF8 + (k >> shift & 7) for shift in range(3 * (SEPARATOR - 1), -1, -3))
 
 
+class RunLengthIndex:
+    """The run-compressed Burrows-Wheeler transform of a text, with samples at the ends of its runs.
+
+    ``heads`` and ``lengths`` are the runs. Inside a run a place's neighbour in
+    suffix order moves on with the place, so neighbours and their common prefixes
+    are known everywhere from the run starts (neighbour above) and run ends
+    (neighbour below): ``samples`` holds, for each of the two, text positions in
+    order and the longest match there. Repetitive text has few runs.
+    """
+
+    def __init__(self, text: np.ndarray):
+        self.size = n = len(text)
+        order = suffix_array(text)
+        bwt = text[order - 1].astype(np.int16)
+        bwt[order == 0] = -1  # nothing stands before the first place
+        starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
+        self.heads, self.lengths = bwt[starts], np.diff(np.r_[starts, n])
+        words = _words(text)
+        self.samples = []
+        for rows, step in ((starts, -1), (starts + self.lengths - 1, 1)):
+            mate = rows + step
+            has = (mate >= 0) & (mate < n)
+            match = np.zeros(len(rows), np.int64)
+            match[has] = _common_prefix(words, order[rows[has]], order[mate[has]], n)
+            by_place = np.argsort(order[rows])
+            self.samples.append((order[rows][by_place], match[by_place]))
+
+    def statistics(self) -> np.ndarray:
+        """For each place the longest match with another place, streamed from sample to sample."""
+        best, place = np.zeros(self.size, np.int64), np.arange(self.size)
+        for at, match in self.samples:  # the first place is a sample: its run is its own
+            ahead = np.diff(np.r_[at, self.size])
+            best = np.maximum(best, np.repeat(match + at, ahead) - place)
+        return best
+
+
 def matching_statistics(pieces: list[bytes]) -> np.ndarray:
     """For each place of the joined pieces (each followed by a separator): the longest match with another place."""
     joined = b"".join(p + _separator(k) for k, p in enumerate(pieces))
-    text = np.frombuffer(joined, np.uint8)
-    n = len(text)
-    order = suffix_array(text)
-    bwt = text[order - 1].astype(np.int16)
-    bwt[order == 0] = -1  # nothing stands before the first place
-    # Run-length compression: only run starts and ends keep their text positions.
-    starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-    ends = np.r_[starts[1:] - 1, n - 1]
-    words, best = _words(text), np.zeros(n, np.int64)
-    for samples, step in ((starts, -1), (ends, 1)):
-        mate = samples + step
-        has = (mate >= 0) & (mate < n)
-        value = np.zeros(len(samples), np.int64)
-        value[has] = _common_prefix(words, order[samples[has]], order[mate[has]], n)
-        at = np.zeros(n, np.int64)
-        known = np.full(n, -1, np.int64)
-        known[order[samples]] = order[samples]
-        at[order[samples]] = value
-        last = np.maximum.accumulate(known)
-        best = np.maximum(best, at[last] - (np.arange(n) - last))
-    return best
+    return RunLengthIndex(np.frombuffer(joined, np.uint8)).statistics()
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -324,7 +344,8 @@ _SPAN = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("start
 
 def _index(table: pa.Table, length: int) -> pa.Table:
     """A slice's pieces, anchor by anchor, in blocks that the index holds at once."""
-    rows = sorted(zip(table["anchor"].to_pylist(), table["key"].to_pylist(), table["start"].to_pylist(), table["whole"].to_pylist(), table["piece"].to_pylist(), strict=True), key=lambda r: r[0])
+    rows = zip(table["anchor"].to_pylist(), table["key"].to_pylist(), table["start"].to_pylist(), table["whole"].to_pylist(), table["piece"].to_pylist(), strict=True)
+    rows = [r for _, r in sorted({r[:3]: r for r in rows}.items())]  # a repeated row sends its pieces again
     out: list[dict] = []
     block: list[tuple] = []
 
@@ -392,7 +413,14 @@ def repeated_spans(documents: DataFrame, *, text_col: str = "text", length: int
     scratch.drop(first)
     marks = found.filter(F.col("kind") == MARK).select("key", "start", "stop")
 
-    asked = found.filter(F.col("kind") != MARK).groupBy("key", "copy").agg(F.collect_list(F.struct("kind", "start", "stop", "anchor", "whole")).alias("asked"))
+    # Texts that stand in several rows repeat as a whole, and are fetched from one of them.
+    long = keyed.select("key", "copy", F.octet_length("text").cast("long").alias("n")).filter(F.col("n") >= length)
+    repeated = long.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("copy").alias("first"), F.first("n").alias("n")).filter("rows > 1")
+    repeated = scratch.keep(repeated.select("key", "first", "n"), "repeated")
+    marks = marks.unionByName(repeated.select("key", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
+    asked = found.filter(F.col("kind") != MARK).join(repeated, "key", "left")
+    asked = asked.withColumns({"whole": F.col("whole") | F.col("first").isNotNull(), "copy": F.coalesce("first", "copy")})
+    asked = asked.groupBy("key", "copy").agg(F.collect_set(F.struct("kind", "start", "stop", "anchor", "whole")).alias("asked"))
     asked = scratch.keep(asked, "asked")
     total = found.filter(F.col("kind") == COLD).agg(F.sum(F.col("stop") - F.col("start") + length)).first()[0] or 0
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLICE_BYTES)
@@ -400,8 +428,12 @@ def repeated_spans(documents: DataFrame, *, text_col: str = "text", length: int
 
     def fetch(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {n: [] for n in pieces_schema.fieldNames()}
-        for key, text, asked in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            raw, key = text.as_py().encode(), key.as_py()
+        seen = set()
+        for key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if key in seen:
+                continue  # a repeated row
+            seen.add(key)
+            raw = text.as_py().encode()
             for r in asked.as_py():
                 row = {"kind": r["kind"], "slice": (r["anchor"] >> 20) % slices, "anchor": r["anchor"], "key": key, "start": r["start"], "whole": r["whole"], "piece": raw[r["start"] : r["stop"] + length - 1]}
                 for n, v in row.items():
@@ -414,8 +446,9 @@ def repeated_spans(documents: DataFrame, *, text_col: str = "text", length: int
     warm = pieces.filter(F.col("kind") == WARM).select("key", "start", "whole", "piece").mapInArrow(lambda it: _windows(it, length), _WINDOW)
     warm = scratch.keep(warm, "windows")
     local = warm.filter("a IS NULL").select("key", "start")
-    met = warm.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", "start")).alias("at")).filter("n > 1")
-    met = met.select(F.explode("at").alias("at")).select("at.key", "at.start")
+    seen = warm.filter("a IS NOT NULL")
+    often = scratch.keep(seen.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b"), "often")
+    met = seen.join(often, ["a", "b"], "left_semi").select("key", "start")
     windows = local.unionByName(met).withColumn("stop", F.col("start") + length)
     spans = marks.unionByName(cold).unionByName(windows)
     return scratch.keep(spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
