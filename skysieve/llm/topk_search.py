@@ -3,11 +3,12 @@
 Vectors become integers, floor(scale * x). A dimension is a term; its postings
 are the values of a shard's vectors in that dimension. For each query a term's
 score bound in the shard is the largest product it can give. Terms are taken by
-falling bound; once the bounds of the rest sum to less than the query's k-th
-best score so far, the rest are non-essential: only vectors still competitive
-on the essential postings are probed in them, and dropped as soon as their
-partial score plus the bounds left cannot reach the k-th best. Shards' best k
-are merged by rank.
+falling bound, and a shard's vectors in lots. Once the bounds of the rest sum to
+less than the query's k-th best score so far, the rest are non-essential: only
+vectors still competitive on the essential postings are probed in them, and
+dropped as soon as their partial score plus the bounds left cannot reach the
+k-th best. Each lot's hits raise the threshold for the next, so terms become
+non-essential as the search goes on. Shards' best k are merged by rank.
 
 Plan: shards and query blocks are dealt to the cells of a grid, so that a cell
 holds a bounded number of vectors and of queries; only vectors and k results
@@ -79,35 +80,34 @@ class Shard:
         self.postings = np.ascontiguousarray(matrix.T).astype(kind)
         self.high, self.low = self.postings.max(axis=1, initial=0), self.postings.min(axis=1, initial=0)
 
-    def search(self, query: np.ndarray, own: object, k: int, seed: int = 256, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k but ``own``."""
+    def search(self, query: np.ndarray, own: object, k: int, lot: int = 256, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k but ``own``. Lots double in size from ``lot`` (or k) on."""
         q = query.astype(self.postings.dtype)
         bound = np.maximum(q * self.high, q * self.low)
         order = np.argsort(-bound, kind="stable")
-        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # left[j]: bounds of order[j:]
+        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # left[j]: bounds of order[j:], falling
         other = np.flatnonzero(self.ids != own)
-        first, rest = other[:seed], other[seed:]
-        known = [(first, q @ self.postings[:, first])]
-        if len(rest):
-            best = _best(known[0][1], self.ids[first], k)
-            least = known[0][1][best[-1]]
-            essential = int(np.argmax(left < least)) if (left < least).any() else len(order)
-            terms = order[:essential]
-            part = q[terms] @ self.postings[terms][:, rest]
-            j = essential
-            while True:
-                keep = part + left[j] >= least
-                rest, part = rest[keep], part[keep]
-                if j >= len(order) or not len(rest):
+        at, scores = other[:0], np.zeros(0, q.dtype)
+        done, size = 0, max(lot, k)
+        while done < len(other):
+            some, done, size = other[done : done + size], done + size, 2 * size
+            # Below k hits there is no threshold, and every term is essential.
+            least = scores[-1] if len(at) >= k else None
+            j = len(order) if least is None else int(np.searchsorted(-left, -least, side="right"))
+            terms = order[: min(j, len(order))]
+            part = q[terms] @ self.postings[np.ix_(terms, some)]
+            while least is not None:
+                keep = part + left[min(j, len(order))] >= least
+                some, part = some[keep], part[keep]
+                if j >= len(order) or not len(some):
                     break
                 terms = order[j : j + step]
-                part = part + q[terms] @ self.postings[np.ix_(terms, rest)]
+                part = part + q[terms] @ self.postings[np.ix_(terms, some)]
                 j = min(j + step, len(order))
-            known.append((rest, part))
-        at = np.concatenate([x for x, _ in known])
-        scores = np.concatenate([x for _, x in known]).astype(np.int64)
-        best = _best(scores, self.ids[at], k)
-        return self.ids[at][best], scores[best]
+            at, scores = np.concatenate([at, some]), np.concatenate([scores, part])
+            best = _best(scores, self.ids[at], k)
+            at, scores = at[best], scores[best]
+        return self.ids[at], scores.astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, cell_vectors: int = CELL_VECTORS, cell_queries: int = CELL_QUERIES) -> DataFrame:
