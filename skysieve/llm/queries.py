@@ -30,16 +30,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
     base = F.filter("spans", lambda x: x["kind"] != "novel")
+    count = lambda kind: F.size(of(kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
-        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(count(k) for k in KINDS if k != "novel"),
         F.sha2(_spans_text(base), 256).alias("base_sha256"),
         _spans_text(F.col("spans")).alias("spans"),
+        count("novel"),
     )
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "set_id")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

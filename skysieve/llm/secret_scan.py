@@ -15,7 +15,9 @@ Plan: a map over id and text; no shuffle, nothing collected or broadcast.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -87,9 +89,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], *, reach: int = 48
     """
     out: list[tuple[int, int, int]] = []
     done = 0
+    taken = sorted(taken)
+    starts = [s for s, _, _ in taken]
+    reached = list(accumulate((e for _, _, e in taken), max))  # the last end of the spans so far
 
     def novel(a: int, b: int) -> bool:
-        if b - a < 16 or any(s < b and a < e for s, _, e in taken):
+        before = bisect_left(starts, b)
+        if b - a < 16 or before and reached[before - 1] > a:
             return False
         added = marginal_bytes(text[max(0, a - around) : a], text[a:b], text[b : b + around])
         return added >= min_bytes and added >= min_ratio * (b - a)
