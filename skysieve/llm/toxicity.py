@@ -11,7 +11,9 @@ goes through a logistic curve fitted on the same rows.
 Fitting uses at most about ``TRAIN_ROWS`` labelled rows, picked by a digest of
 the id; scoring covers every row and whole texts. Plan: the picked labels (a
 bounded set) are broadcast to find their documents; gram counts are summed in
-tasks before a small shuffle; scoring is a map, with the lexicon broadcast.
+tasks before a small shuffle, and only grams with significant evidence leave it;
+scoring is a map, with the lexicon broadcast. The lexicon is as long as the
+evidence of the bounded sample makes it; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, field, give_back, map_rows
 
-TRAIN_ROWS, MAX_ENTRIES = 20_000, 20_000
+TRAIN_ROWS = 20_000
 #: Grams that a task counts before it hands them on.
 FLUSH = 200_000
 SHORTEST, LONGEST = 3, 10
@@ -123,6 +125,14 @@ def _counted(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(count, schema).groupBy("gram").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter(F.col("p") >= MIN_DOCS)
 
 
+def _significant(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The grams whose evidence (see ``_evidence``) may suffice."""
+    share, rows = toxic / (toxic + clean), F.col("p") + F.col("n")
+    z = (F.col("p") - rows * share) / F.sqrt(rows * (share * (1 - share)) * (1 - rows / (toxic + clean)) + 1e-9)
+    odds = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
+    return counts.filter((z >= MIN_Z - 1e-6) & (odds >= MIN_LOG_ODDS - 1e-6))
+
+
 def _evidence(p: int, n: int, toxic: int, clean: int) -> tuple[float, float]:
     """(z, log odds) of p toxic and n clean rows."""
     rows, share = p + n, toxic / (toxic + clean)
@@ -184,7 +194,8 @@ def _phrases(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
         return out
 
     seen = map_rows(sample.select("text", "toxic"), schema, around).groupBy("phrase").agg(F.count(F.lit(1)).alias("rows"), F.sum("toxic").alias("p"))
-    return frozenset(r[0] for r in seen.filter((F.col("rows") >= 2 * MIN_DOCS) & (F.col("p") * 20 <= F.col("rows"))).orderBy(F.desc("rows"), "phrase").limit(MAX_ENTRIES).collect())
+    often = seen.filter((F.col("rows") >= 2 * MIN_DOCS) & (F.col("p") * 20 <= F.col("rows")))
+    return frozenset(r[0] for r in often.select("phrase").collect())  # of a bounded sample
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -233,14 +244,12 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         by = dict(left.groupBy("toxic").count().collect())
         if by.get(1, 0) < MIN_DOCS:
             break
-        strong = _counted(left).filter(F.col("p") * by[0] >= F.col("n") * by[1])
-        rows = strong.orderBy(F.desc(F.col("p") / (F.col("p") + F.col("n")) * F.sqrt("p")), "gram").limit(10 * MAX_ENTRIES).collect()
+        rows = _significant(_counted(left), by[1], by[0]).collect()
         all_rows = math.log((toxic + 1) / (by[1] + 1))  # odds against all toxic rows, not just those left
         more = {g: w - all_rows for g, w in _chosen({r[0]: (r[1], r[2]) for r in rows}, by[1], by[0]).items() if g not in weights and w - all_rows >= MIN_LOG_ODDS}
         if not more:
             break
         weights |= more
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES])
     plain = Lexicon(weights, given, (0.0,) * 4)
     lexicon = Lexicon(weights, given | _phrases(sample, plain), (0.0,) * 4)
     shared = spark.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.curve))
@@ -255,8 +264,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return lexicon
 
 
-def score(documents: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document row: id, held_out, score, predicted.
+def score(documents: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, held_out: bool = True) -> DataFrame:
+    """One row per document row: id, held_out (null if not asked for), score, predicted.
 
     Null and empty texts score as texts without words. A null id counts as an
     empty one for ``held_out``. Repeated rows are each scored.
@@ -268,5 +277,5 @@ def score(documents: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", tex
         scores = [_lexicon(shared).score(t.as_py()) for t in batch.column(1)]
         return {id_col: batch.column(0), "held_out": batch.column(2), "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
-    held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0).alias("held")
-    return map_rows(documents.select(F.col(id_col), F.col(text_col), held), schema, judge)
+    held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0 if held_out else F.lit(None).cast("boolean")
+    return map_rows(documents.select(F.col(id_col), F.col(text_col), held.alias("held")), schema, judge)
