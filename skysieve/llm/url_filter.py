@@ -8,8 +8,10 @@ hash join with the list, which removes false positives.
 
 Plan: pages are mapped once, with only id and URL read. Verdicts depend on
 host and path alone, so distinct (host, path, probe) rows that passed the
-filter are joined to the list, then joined back. The filter has a bounded size
-(``MAX_FILTER_BYTES``); a list too large for it is probed without the filter.
+filter are joined to the list, then joined back; pages of which nothing passed,
+null URLs among them, take no part in either join. The filter never grows beyond
+``MAX_FILTER_BYTES``: a longer list fills it more densely, so that more false
+positives pass on to the join.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def _places(keys: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 def build_filter(keys: DataFrame, n: int) -> np.ndarray:
     """The filter of the ``key`` column: words are or-ed per block by Spark, then gathered (at most the size limit)."""
-    blocks = max(1, -(-n * BITS_A_KEY // 256))
+    blocks = min(max(1, -(-n * BITS_A_KEY // 256)), MAX_FILTER_BYTES // 32)
     schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(f"w{k}", T.LongType()) for k in range(8))])
 
     def spread(batch: pa.RecordBatch) -> dict:
@@ -96,7 +98,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     ).groupBy("key", "rule", "of_host", "of_path").agg(F.max("action").alias("action"))
     n = listed.count()
     lengths = sorted(r[0] for r in listed.select("of_path").distinct().collect())  # as many as there are path lengths
-    words = build_filter(listed.select("key"), n) if 0 < n * BITS_A_KEY // 8 <= MAX_FILTER_BYTES else None
+    words = build_filter(listed.select("key"), n)
     shared = spark.sparkContext.broadcast((words, lengths))
     schema = T.StructType([field(pages, id_col, "id"), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("probes", T.ArrayType(T.StringType()))])
 
@@ -112,12 +114,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
                     keys.append(_key(s, path[:size]))
                     owners.append(row)
         probes: list[list[str]] = [[] for _ in parts]
-        if keys and words is not None:
-            block, mask = _places(keys, len(words))
-            passed = np.flatnonzero(((words[block] & mask) == mask).all(axis=1))
-        else:
-            passed = range(len(keys))
-        for at in passed:
+        block, mask = _places(keys, len(words))
+        for at in np.flatnonzero(((words[block] & mask) == mask).all(axis=1)):
             probes[owners[at]].append(keys[at])
         return {"id": batch.column(0), "host": [h for h, _ in parts], "path": [p for _, p in parts], "probes": probes}
 
@@ -126,6 +124,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     listed = F.broadcast(listed) if n <= SMALL_LIST else listed
     best = F.max_by(F.struct("rule", "action"), F.struct(F.col("of_host") + F.col("of_path"), "of_host", "action"))
     exact = possible.join(listed, "key").groupBy("host", "path").agg(best.alias("best"))
-    return judged.join(exact, ["host", "path"], "left").select(
-        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(otherwise)).alias("verdict")
-    )
+    hit = judged.filter(F.size("probes") > 0).join(exact, ["host", "path"], "left").select("id", "host", "path", "best")
+    missed = judged.filter(F.size("probes") == 0).select("id", "host", "path", F.lit(None).cast(exact.schema["best"].dataType).alias("best"))
+    return hit.unionByName(missed).select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(otherwise)).alias("verdict"))
