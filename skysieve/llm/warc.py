@@ -54,7 +54,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     picked = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("html"))
     picked = picked.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     copies = picked.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = copies.filter("n > 1 AND first IS NOT NULL").select("digest", "first").persist()
+    copies = Scratch(pages.sparkSession, "copies").keep(copies.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "copies")
     small = copies.limit(FEW_COPIES + 1).count() <= FEW_COPIES
     rows = picked.join(F.broadcast(copies) if small else copies, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
@@ -69,7 +69,6 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
     )
     rows.select(record.alias("value")).write.option("lineSep", END).text(path)
-    copies.unpersist()
 
 
 _CANDIDATE = T.StructType([
