@@ -46,6 +46,14 @@ def test_shard_prunes_exactly():
         assert ids.tolist() == want and scores.tolist() == all_scores[want].tolist()
 
 
+def test_shard_with_more_results_than_a_lot():
+    """The first lot holds the best, and k is larger than a lot."""
+    m = np.r_[np.full((256, 1), 9), np.arange(344).reshape(-1, 1) % 8]
+    ids, scores = topk_search.Shard(np.arange(600), m, 1).search(np.array([1]), -1, 300)
+    want = np.lexsort((np.arange(600), -m[:, 0]))[:300]
+    assert ids.tolist() == want.tolist() and scores.tolist() == m[want, 0].tolist()
+
+
 URLS = [
     ("http://A.Example.ORG/es/x?q#f", "example.org/es/", "block"), ("http://example.org/en/12", "example.org/en/1", "block"), ("https://example.org/en/2", "org/", "allow"), ("https://org/", "org/", "allow"),
     ("https://x.org", None, "allow"), ("https://notexample.org/es/", "org/", "allow"), ("ftp://shop.com/de/a", "com/de/", "block"), ("ftp://shop.com/fr/a#x", "com/fr/", "allow"), ("shop.com/de/a", None, "allow"),
@@ -66,6 +74,26 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_filter_ties_and_long_urls(spark):
+    """Of rules of one length the longer host wins, then block; long URLs, repeated and null ones are all judged."""
+    rules = spark.createDataFrame([("allow", "b.org", "/a"), ("block", "org", "/abcd"[:4]), ("allow", "c.org", "/x"), ("block", "c.org", "/x"), ("block", "d.org", "/" + "p" * 3000)], url_filter.RULES)
+    long = "http://" + "s." * 500 + "d.org/" + "p" * 100_000
+    urls = ["http://b.org/abc", "http://c.org/x", long, "http://d.org/" + "p" * 2999, None, None, None, "http://c.org/x"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert len(got) == len(urls) and got[4] == got[5] == got[6] == (None, "allow")
+    assert got[0] == ("b.org/a", "allow") and got[1] == got[7] == ("c.org/x", "block")
+    assert got[2] == ("d.org/" + "p" * 3000, "block") and got[3] == (None, "allow")
+
+
+def test_bloom_that_is_too_small_still_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", 64)
+    keys = [f"host{k}.org\n/p{k}" for k in range(500)]
+    words = url_filter.build_filter(spark.createDataFrame([(k,) for k in keys], "key string"), len(keys))
+    block, mask = url_filter._places(keys, len(words))
+    assert words.nbytes == 64 and ((words[block] & mask) == mask).all()
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = [f"host{k}.org\n/p{k}" for k in range(2000)]
     words = url_filter.build_filter(spark.createDataFrame([(k,) for k in keys], "key string"), len(keys))
@@ -107,6 +135,15 @@ def test_warc_round_trip(spark, split):
     assert kept["100"].decode() == rows[20][2]
 
 
+def test_warc_takes_clashing_names_and_long_payloads(spark):
+    long = "é" * 2_000_000
+    rows = [(1, "u", long, "x", 1), (2, "u", long, "x", 2), (3, None, "b", "x", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, bytes int").withColumnsRenamed({"digest": "first"})
+    got = {r.id: r for r in warc.round_trip(pages.withColumn("id", F.lit(7))).collect()}
+    assert got[1].payload_bytes == 4_000_000 and got[2].type == "revisit" and got[2].refers_to == 1 and got[3].payload_bytes == 1
+    assert got[2].payload_digest == got[1].payload_digest == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -134,3 +171,26 @@ def test_pipeline_stages(spark, documents, tmp_path):
     row = kept["secrets"].filter("doc_id = 500").first()
     assert row.text == "my [secret] here and nothing else" and row.n_chars == len(row.text) and row.spans == "y"
     assert kept["mixing"].count() == kept["secrets"].count()
+
+
+def test_pipeline_drops_toxic_rows(spark, tmp_path):
+    """Rows that the stage calls toxic go, whatever else they hold; clean ones stay with all their columns."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["tree", "house", "river", "stone"]) for _ in range(30)) + (" vilest" if k % 4 == 0 else ""), "en", "s", 1, k) for k in range(400)]
+    docs = spark.createDataFrame([*rows, (None, None, None, None, None, None), rows[1]], "doc_id long, text string, lang string, source string, n_chars long, score long")
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted([k for k in range(400) if k % 4] + [1])
+    assert out.filter("doc_id IS NULL").count() == 1
+
+
+def test_pipeline_on_empty_tables(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

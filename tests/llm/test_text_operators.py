@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skysieve.llm import decontamination, jaccard_join, mixing, secret_scan, substring_dedup, token_counts, toxicity
+from skysieve.llm.common import Scratch
 
 
 def rows_of(df):
@@ -125,12 +127,26 @@ def test_token_counts(spark, documents, empty):
     tok = tokenizers.Tokenizer.from_file(path)
     odd = ["a<|endoftext|>b don't  I'LL x ́ éa 中文字 ½ 12345 \U0001f600　\xa0", "\x00 \x1c \x85 x", "ΣΑΣ"]
     df = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows_of(token_counts.count_tokens(df, path)))
     want = Counter((r.doc_id, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())
-    assert got == want
+    for head in (token_counts.HEAD, 40, 0):  # the whole dictionary in the tasks, its head, nothing of it
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows_of(token_counts.count_tokens(df, path, head=head)))
+        assert got == want
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_dictionary_counts_each_pre_token_once(spark, documents, tmp_path):
+    pytest.importorskip("tokenizers")
+    files = pytest.importorskip("public_tokenizers")
+    scratch = Scratch(spark, "dictionary")
+    cuts = token_counts.distinct_cuts(documents.select(F.col("text").cast("binary")))
+    want = Counter(c for r in documents.collect() for c in set((r.text or "").encode().split()))
+    assert {bytes(r["cut"]): r["n"] for r in rows_of(cuts)} == want
+    words = token_counts.dictionary(cuts, files.path("word_bpe_49k.json"), scratch)
+    assert words.count() == len(want)
+    counted = spark.read.parquet(f"{scratch.root}/*-words")
+    assert counted.count() == counted.select("word").distinct().count() > 0
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------------------------
 
 
@@ -157,14 +173,14 @@ def brute_components(rows, size=5):
     return Counter((i, len(sets[k]), (min(groups[find(k)]) if groups[find(k)] else None) if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("how", [{}, {"cold": 2}, {"cold": 3, "locally_hot": 2}])
+@pytest.mark.parametrize("how", [{}, {"cold": 2, "chunk": 3}, {"cold": 3, "locally_hot": 2, "chunk": 2}])
 def test_jaccard_components(documents, how):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard_join.join_components(documents, **how)))
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 1}, {"cold": 2, "block": 3}])
+@pytest.mark.parametrize("how", [{}, {"block": 1}, {"cold": 2, "chunk": 3, "block": 3}])
 def test_jaccard_links(spark, documents, how):
     """Each document's links are all counted, also inside a group of near copies with different texts."""
     base = [f"n{k}" for k in range(100)]
@@ -179,6 +195,55 @@ def test_jaccard_links(spark, documents, how):
     assert max(n for _, _, n in want) > 10
 
 
+def test_jaccard_hot_bucket_of_unlike_texts(spark):
+    """Long texts that share most of their words' ranges, but not enough to link: a hot bucket whose pairs are all ruled out in the task."""
+    rng = np.random.default_rng(9)
+    common = [f"c{k}" for k in range(700)]
+    rows = [(k, " ".join([*common, *(f"u{k}_{j}" for j in range(int(rng.integers(280, 330))))])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(3)]
+    got = {r["doc_id"]: r for r in rows_of(jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cold=8))}
+    assert {i: r["component_id"] for i, r in got.items()} == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: int(i >= 1000 or i < 3) for i, _ in rows}
+
+
+def test_jaccard_kernel_against_brute_force():
+    """Counts and components of many sets at once, in strips, from a base, and across two blocks."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(90):
+        drop, add = int(rng.integers(0, 9)), int(rng.integers(0, 9))
+        pool = rng.integers(0, 40, add).astype(np.uint64)  # elements that some sets share
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[drop:], pool])))
+    n, copies = np.array([len(s) for s in sets]), rng.integers(1, 5, len(sets))
+    have = [set(s.tolist()) for s in sets]
+    linked = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in have] for a in have])
+    np.fill_diagonal(linked, False)
+    assert linked.any() and not linked[~np.eye(len(sets), dtype=bool)].all()
+
+    def reached(m):
+        root = np.arange(len(m))
+        for _ in range(len(m)):
+            root = np.array([min(root[k], *root[m[k]]) if m[k].any() else root[k] for k in range(len(m))])
+        return root
+
+    for made in (sets, [np.setxor1d(s, sets[7]) for s in sets]):
+        links, root = jaccard_join.links_of(made, n, copies, (4, 5))
+        assert links.tolist() == (linked @ copies).tolist() and root.tolist() == reached(linked).tolist()
+        across = linked.copy()
+        across[:40, :40] = across[40:, 40:] = False
+        links, root = jaccard_join.links_of(made, n, copies, (4, 5), split=40)
+        assert links.tolist() == (across @ copies).tolist() and root.tolist() == reached(across).tolist()
+
+
+def test_jaccard_sketches_fold():
+    a, b = (np.unique(np.random.default_rng(k).integers(0, 2**63, n).astype(np.uint64)) for k, n in ((1, 300), (2, 250)))
+    assert len(jaccard_join.sketch(a)) == 128 and len(jaccard_join.sketch(b)) == 64
+    long, short = jaccard_join._folded([jaccard_join.sketch(a), jaccard_join.sketch(b)])
+    bits = lambda h: (np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    assert long.tobytes() == np.packbits(bits(a)).tobytes() and short.tobytes() == np.packbits(bits(b)).tobytes()
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.join_components(empty).count() == 0
 
@@ -229,6 +294,40 @@ def test_substring_removal(documents, how):
     assert got == brute_removal(rows, 400)
 
 
+def test_substring_removal_with_many_repeated_rows(spark):
+    """Rows that repeat id and text are copies of each other, and one of them stands for all as a partner of others."""
+    rng = np.random.default_rng(21)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    passage = word(65)[:450]
+    rows = [(k, f"{word(30)} {passage} {word(30)}") for k in range(30)]
+    repeated = spark.range(8000).select(F.lit(0).cast("long").alias("doc_id"), F.lit(rows[0][1]).alias("text"))
+    df = spark.createDataFrame(rows[1:] + [(None, "n" + rows[5][1]), (None, "n" + rows[5][1])], "doc_id long, text string").unionByName(repeated).repartition(4)
+    out = rows_of(substring_dedup.dedup_substrings(df))
+    assert len(out) == 8031
+    for r in out:
+        removed = sum(s["end"] - s["start"] for s in r["spans"])
+        if r["doc_id"] in (0, None):
+            assert removed == r["n_bytes"]
+        elif r["doc_id"] != 5:
+            assert 450 <= removed <= 460, r
+
+
+def test_suffix_array_refuses_what_it_cannot_pack():
+    with pytest.raises(ValueError):
+        substring_dedup.suffix_array(np.zeros(1 << 21, np.uint8))
+
+
+def test_run_length_index_holds_runs():
+    text = np.frombuffer(b"abracadabra" * 50 + b"\xff", np.uint8)
+    index = substring_dedup.RunLengthIndex(text)
+    assert int(index.lengths.sum()) == len(text) and len(index.heads) < len(text) // 10
+    data = text.tobytes()
+    stats = index.statistics()
+    for at in (0, 5, 300, 540, 550):
+        longest = max((n for n in range(len(data) - at + 1) if data.find(data[at : at + n]) not in (at, -1) or data.find(data[at : at + n], at + 1) >= 0), default=0)
+        assert stats[at] == longest
+
+
 def test_substring_empty(empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
@@ -267,6 +366,20 @@ def test_toxicity_learns_and_folds(spark):
     assert lexicon.score("river v1l3st stone vіlest " + "tree " * 20) > 0.5 > lexicon.score("river stone")
 
 
+def test_toxicity_scores_as_a_plain_loop_does():
+    """The automaton's matches, exceptions and score against a search of each word."""
+    lexicon = toxicity.Lexicon({" vil": 1.5, " vile ": 2.0, " gor": 1.0}, frozenset({"gore tex", "of vile"}), (-1.0, 0.5, 0.25, 0.1))
+    for text in ["V1le gore, of vile. gore tex gorey", "", None, "vіlest tree", "gore", "a " * 500 + "vile", "of vile of vile vile"]:
+        words = toxicity.fold(text).split()
+        total = 0.0
+        for k, w in enumerate(words):
+            marked, near = f" {w} ", {f"{words[k - 1]} {w}" if k else "", f"{w} {words[k + 1]}" if k + 1 < len(words) else ""}
+            fits = [v for e, v in lexicon.weights.items() if marked.startswith(e)]
+            total += max(fits) if fits and not near & lexicon.exceptions else 0
+        x = [1.0, np.log1p(total), np.log1p(100 * total / max(1, len(words))), np.log1p(len(words)) / 5]
+        assert abs(lexicon.score(text) - 1 / (1 + np.exp(-np.dot(x, lexicon.curve)))) < 1e-12
+
+
 def test_toxicity_awkward(spark, documents, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out = rows_of(toxicity.score(documents, toxicity.fit(documents, none)))
