@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's ``docs``. All stages but
-the last return the columns of ``documents``, with whatever extra columns came.
-Stages read other tables of ``sf_dir`` (labels, benchmark) by Spark's reader.
+the last return the columns of ``documents``, with whatever extra columns came,
+also where their names clash with those of an operator. Stages read other tables
+of ``sf_dir`` (labels, benchmark) by Spark's reader.
+
+An empty table passes through every stage. Rows with a null or empty text are
+kept: they are not toxic unless all learned rows are, have no near duplicates,
+no windows and no secrets, and weigh nothing in the mix. Null ids and sources
+pass; repeated rows are one near-duplicate group, of which one row stays.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the lexicon, learned on these rows and their labels, does not call toxic."""
+    """Rows that the lexicon, learned on these rows and their labels, does not call toxic; with no labels, all rows. Repeated rows share their fate."""
     lexicon = fit(docs, table(spark, sf_dir, "labels"))
     return score(_carried(docs), lexicon, id_col="row", held_out=False).filter("predicted = 0").select("row.*")
 
@@ -49,12 +55,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no window of a benchmark item."""
+    """Rows that hold no window of a benchmark item; rows without words, and all rows where there are no items, stay."""
     return decontaminate(_carried(docs), table(spark, sf_dir, "benchmark"), id_col="row").filter("n_hit = 0").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets in their texts replaced and ``n_chars`` counted again where a text changed."""
+    """All rows, with secrets in their texts replaced and ``n_chars`` counted again where a text changed; null texts stay null."""
     found = scan_secrets(_carried(docs), id_col="row", redact=REDACTED)
     changed = F.size("spans") > 0
     new = {"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))}
@@ -62,7 +68,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each row the mix takes (see ``mix``)."""
+    """How many words of each row the mix takes (see ``mix``); rows without words take none."""
     return mix(docs)
 
 
