@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skysieve.constants import CONSUMPTION, DAY_SECONDS, EMISSION_FACTORS, INDIA_BOX, INVENTORIES
 from skysieve.functions.aqi import clean
 from skysieve.functions.physics import burning_season, in_box
+from skysieve.operators.scratch import keep
 
 
 def clip_to_box(fires: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
@@ -56,7 +57,7 @@ def episodes(fires: DataFrame, box: tuple[float, float, float, float] | None = N
 
     The period is at most half the series; the deviation is the population's.
     """
-    series = daily_series(fires, box).cache()
+    series = keep(daily_series(fires, box), "series")
     n = series.count()
     if n == 0:
         raise ValueError("no fire in the box")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from skysieve.constants import EARTH_KM
 from skysieve.functions.aqi import clean
 from skysieve.functions.physics import season_of
+from skysieve.operators.nearest import nearest
+from skysieve.operators.ranks import quantiles
 
 CELL = ["i", "j"]
 
@@ -51,10 +56,11 @@ def polynomial_surface(field: DataFrame, degree: int = 2, *, value: str = "v", x
 def spatial_anomaly(field: DataFrame, *, value: str = "v", degree: int | None = 2) -> DataFrame:
     """Adds z_spatial: the robust z over the whole field, after taking a polynomial surface off (None: not)."""
     rows = polynomial_surface(field, degree, value=value).withColumn("_r", clean(F.col(value)) - F.col("fitted")) if degree else field.withColumn("_r", clean(F.col(value)))
-    med = rows.agg(F.median("_r").alias("_m"))
-    away = rows.crossJoin(F.broadcast(med)).withColumn("_a", F.abs(F.col("_r") - F.col("_m")))
-    mad = away.agg((F.median("_a") * 1.4826).alias("_s"))
-    return away.crossJoin(F.broadcast(mad)).withColumn("z_spatial", F.when(F.col("_s") > 0, F.try_divide(F.col("_r") - F.col("_m"), F.col("_s")))).drop("_r", "_m", "_a", "_s", "fitted")
+    middle = quantiles(rows, "_r", [0.5])[0]
+    away = quantiles(rows.select(F.abs(F.col("_r") - F.lit(middle)).alias("_a")), "_a", [0.5])[0]
+    scale = 1.4826 * (away or 0.0)
+    z = (F.col("_r") - middle) / scale if scale > 0 else F.lit(None).cast("double")
+    return rows.withColumn("z_spatial", z).drop("_r", "fitted")
 
 
 def climatology(cube: DataFrame, season: str | None = None, *, value: str = "v", q: float = 95.0, time: str = "t") -> DataFrame:
@@ -85,27 +91,57 @@ def fit_quantile_map(pairs: DataFrame, *, sat: str = "sat", obs: str = "obs", re
     """(region, sat_q, obs_q): paired quantile arrays, for all rows (null region) and for regions with enough rows."""
     rows = pairs.withColumns({"s": clean(F.col(sat)), "o": clean(F.col(obs))}).filter("s IS NOT NULL AND o IS NOT NULL")
     probs = [k / (n - 1) for k in range(n)]
-    q = [F.percentile(c, F.array(*map(F.lit, probs))).alias(f"{a}_q") for c, a in (("s", "sat"), ("o", "obs"))]
-    whole = rows.agg(F.lit(None).cast("string").alias("region"), *q)
+    told = "region string, sat_q array<double>, obs_q array<double>"
+    whole = pairs.sparkSession.createDataFrame([(None, quantiles(rows, "s", probs), quantiles(rows, "o", probs))], told)
     if region is None:
         return whole
+    q = [F.percentile(c, F.array(*map(F.lit, probs))).alias(f"{a}_q") for c, a in (("s", "sat"), ("o", "obs"))]
     each = rows.groupBy(F.col(region).cast("string").alias("region")).agg(*q, F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & F.col("region").isNotNull()).drop("n")
     return whole.unionByName(each)
 
 
+#: Regions whose maps travel with the tasks; beyond, rows meet their region's map in a join.
+FEW_MAPS = 10_000
+
+
+def _mapped(x: np.ndarray, s: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Linear between the quantiles, the end segments' slopes beyond them; where two quantiles are one, the lower's value."""
+    k = np.clip(np.searchsorted(s, x, side="right") - 1, 0, len(s) - 2)
+    width = s[k + 1] - s[k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(width == 0, o[k], o[k] + (x - s[k]) * (o[k + 1] - o[k]) / width)
+    return np.where(np.isfinite(x), out, np.nan)
+
+
 def apply_quantile_map(rows: DataFrame, mapping: DataFrame, *, sat: str = "sat", region: str | None = None) -> DataFrame:
     """Adds mapped: linear between the quantiles, the end segments' slopes beyond them; unknown regions use the map of all."""
+    x = clean(F.col(sat))
+    if mapping.limit(FEW_MAPS + 1).count() <= FEW_MAPS:
+        maps = {r["region"]: (np.array(r["sat_q"], float), np.array(r["obs_q"], float)) for r in mapping.collect()}
+
+        @F.pandas_udf("double")
+        def mapped(x: pd.Series, name: pd.Series) -> pd.Series:
+            out = np.full(len(x), np.nan)
+            values, (codes, names) = x.to_numpy(float), pd.factorize(name, use_na_sentinel=False)
+            for code, key in enumerate(names):
+                at = codes == code
+                s, o = maps.get(None if pd.isna(key) else key) or maps[None]
+                out[at] = _mapped(values[at], s, o)
+            return pd.Series(out)
+
+        name = F.col(region).cast("string") if region is not None else F.lit(None).cast("string")
+        return rows.withColumn("mapped", clean(mapped(x, name)))
     whole = mapping.filter("region IS NULL").select(F.col("sat_q").alias("_ws"), F.col("obs_q").alias("_wo"))
-    out = rows.crossJoin(F.broadcast(whole))
-    if region is not None:
-        each = mapping.filter("region IS NOT NULL").select(F.col("region").alias(region), F.col("sat_q").alias("_rs"), F.col("obs_q").alias("_ro"))
-        out = out.join(F.broadcast(each), region, "left").withColumns({"_ws": F.coalesce("_rs", "_ws"), "_wo": F.coalesce("_ro", "_wo")}).drop("_rs", "_ro")
-    x, n = clean(F.col(sat)), F.size("_ws")
-    below = F.size(F.filter("_ws", lambda q: q <= x))
-    k = F.least(F.greatest(below, F.lit(1)), n - 1)
-    s0, s1, o0, o1 = (F.element_at(c, i) for c, i in (("_ws", k), ("_ws", k + 1), ("_wo", k), ("_wo", k + 1)))
-    mapped = F.when(s1 == s0, o0).otherwise(o0 + F.try_divide((x - s0) * (o1 - o0), s1 - s0))
-    return out.withColumn("mapped", F.when(x.isNotNull(), mapped)).drop("_ws", "_wo")
+    each = mapping.filter("region IS NOT NULL").select(F.col("region").alias("_region"), F.col("sat_q").alias("_rs"), F.col("obs_q").alias("_ro"))
+    name = F.col(region).cast("string") if region is not None else F.lit(None).cast("string")
+    out = rows.crossJoin(F.broadcast(whole)).withColumn("_name", name)
+    out = out.join(each, F.col("_name") == F.col("_region"), "left").withColumns({"_ws": F.coalesce("_rs", "_ws"), "_wo": F.coalesce("_ro", "_wo")})
+
+    @F.pandas_udf("double")
+    def mapped_by(x: pd.Series, s: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([float(_mapped(np.array([a]), np.asarray(b, float), np.asarray(c, float))[0]) for a, b, c in zip(x, s, o, strict=True)], dtype=float)
+
+    return out.withColumn("mapped", clean(mapped_by(x, "_ws", "_wo"))).drop("_name", "_region", "_rs", "_ro", "_ws", "_wo")
 
 
 def gap_report(cube: DataFrame, columns: list[str]) -> DataFrame:
@@ -150,38 +186,27 @@ def box_mean(field: DataFrame, radius: int = 1, *, value: str = "v") -> DataFram
     return field.join(means, CELL, "left")
 
 
-def idw(obs: DataFrame, nodes: DataFrame, *, k: int = 8, power: float = 2.0, smoothing: float = 0.0, reach: float | None = None) -> DataFrame:
+def _plane(df: DataFrame, lat0: float, lon0: float, *keep: str) -> DataFrame:
+    """The columns with x and y: kilometres on a local equirectangular plane."""
+    return df.select(*keep, (F.radians(F.col("lon") - lon0) * math.cos(math.radians(lat0)) * EARTH_KM).alias("x"), (F.radians(F.col("lat") - lat0) * EARTH_KM).alias("y"))
+
+
+def idw(obs: DataFrame, nodes: DataFrame, *, k: int = 8, power: float = 2.0, smoothing: float = 0.0) -> DataFrame:
     """(node, estimate, variance): inverse-distance weights of the k nearest observations in a local equirectangular plane.
 
-    ``obs``: id, lat, lon, v. ``nodes``: node, lat, lon. With ``reach`` (km)
-    rows meet by square buckets of that side and only observations in the nine
-    buckets around a node count; without it observations are compared in all,
-    which suits station networks (broadcast only up to ``SMALL`` of them).
+    ``obs``: id, lat, lon, v. ``nodes``: node, lat, lon. Neighbours come from
+    ``nearest``, so no node meets all observations.
     """
     o = obs.filter(clean(F.col("v")).isNotNull())
-    middle = o.agg(F.avg("lon").alias("_lon0"), F.avg("lat").alias("_lat0"), F.count(F.lit(1)).alias("_n"))
-    if o.isEmpty():
+    middle = o.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).first()
+    if middle["lat"] is None:
         raise ValueError("no observation")
-    x = F.radians(F.col("lon") - F.col("_lon0")) * F.cos(F.radians("_lat0")) * EARTH_KM
-    y = F.radians(F.col("lat") - F.col("_lat0")) * EARTH_KM
-    plane = lambda df, p, keep: df.crossJoin(F.broadcast(middle)).select(*keep, x.alias(f"{p}x"), y.alias(f"{p}y"), "_n")
-    left, right = plane(nodes, "g", ["node"]), plane(o, "o", ["id", "v"]).drop("_n")
-    if reach is None:
-        pairs = left.crossJoin(F.broadcast(right) if obs.count() <= SMALL else right)
-    else:
-        cell = lambda p: [F.floor(F.col(f"{p}{c}") / reach).alias(f"c{c}") for c in "xy"]
-        around = F.explode(F.array(*(F.struct((F.floor(F.col("ox") / reach) + a).alias("cx"), (F.floor(F.col("oy") / reach) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-        pairs = left.select("*", *cell("g")).join(right.withColumn("c", around).select("id", "v", "ox", "oy", "c.cx", "c.cy"), ["cx", "cy"])
-    d = F.sqrt(F.pow(F.col("gx") - F.col("ox"), 2) + F.pow(F.col("gy") - F.col("oy"), 2))
-    near = pairs.withColumn("d", d).withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("d", "id"))).filter(F.col("rn") <= k)
+    near = nearest(_plane(nodes, *middle, "node"), _plane(o, *middle, "id"), k).join(o.select("id", "v"), "id")
     w = 1.0 / F.pow(F.col("d") * F.col("d") + smoothing + 1e-12, F.lit(power / 2))
     est = near.groupBy("node").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("estimate"), F.avg("d").alias("_md"), (F.sum(w * F.col("v") * F.col("v")) / F.sum(w)).alias("_m2"))
-    typical = est.agg(F.median("_md").alias("_med"))
-    var = F.greatest(F.col("_m2") - F.col("estimate") * F.col("estimate"), F.lit(0.0)) * (1 + F.col("_md") / (F.col("_med") + 1e-12))
-    return est.crossJoin(F.broadcast(typical)).select("node", "estimate", var.alias("variance"))
-
-
-SMALL = 20_000
+    typical = quantiles(est, "_md", [0.5])[0] or 0.0
+    var = F.greatest(F.col("_m2") - F.col("estimate") * F.col("estimate"), F.lit(0.0)) * (1 + F.col("_md") / (typical + 1e-12))
+    return est.select("node", "estimate", var.alias("variance"))
 
 
 def regrid(src: DataFrame, targets: DataFrame, *, lat0: float, lon0: float, step: float, n_lat: int, n_lon: int, method: str = "bilinear", value: str = "v", by: list[str] | None = None) -> DataFrame:
@@ -280,27 +305,93 @@ def dineof(matrix: DataFrame, *, group: str = "variable", k_max: int = 8, max_it
     return matrix.groupBy(group).applyInPandas(fill, f"{group} {types[group]}, t {types['t']}, c {types['c']}, value double, gap boolean, rank int")
 
 
+def _spherical(h: np.ndarray, range_km: float, sill: float, nugget: float) -> np.ndarray:
+    r = np.minimum(h / range_km, 1.0)
+    return np.where(h > 0, nugget + (sill - nugget) * (1.5 * r - 0.5 * r**3), 0.0)
+
+
 def ordinary_kriging(obs: DataFrame, nodes: DataFrame, *, k: int = 16, range_km: float = 300.0, sill: float = 1.0, nugget: float = 0.0) -> DataFrame:
-    """(node, estimate, variance) with a spherical variogram over each node's k nearest observations."""
-    o = obs.filter(clean(F.col("v")).isNotNull()).select("id", F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("v").cast("double").alias("v"))
-    small = F.broadcast(o) if o.count() <= SMALL else o
-    d = F.pow(F.col("lat") - F.col("olat"), 2) + F.pow((F.col("lon") - F.col("olon")) * F.cos(F.radians("lat")), 2)
-    near = nodes.crossJoin(small).withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(d, "id"))).filter(F.col("rn") <= k)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        def gamma(h: np.ndarray) -> np.ndarray:
-            r = np.minimum(h / range_km, 1.0)
-            return np.where(h > 0, nugget + (sill - nugget) * (1.5 * r - 0.5 * r**3), 0.0)
-
-        lat, lon, v = (pdf[c].to_numpy(float) for c in ("olat", "olon", "v"))
-        px, py = np.radians(lon) * np.cos(np.radians(pdf["lat"].iloc[0])) * EARTH_KM, np.radians(lat) * EARTH_KM
-        gx, gy = np.radians(pdf["lon"].iloc[0]) * np.cos(np.radians(pdf["lat"].iloc[0])) * EARTH_KM, np.radians(pdf["lat"].iloc[0]) * EARTH_KM
-        n = len(v)
-        m = np.ones((n + 1, n + 1))
-        m[:n, :n], m[n, n] = gamma(np.hypot(px[:, None] - px, py[:, None] - py)), 0.0
-        rhs = np.append(gamma(np.hypot(px - gx, py - gy)), 1.0)
-        w, *_ = np.linalg.lstsq(m, rhs, rcond=None)
-        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "estimate": [float(w[:n] @ v)], "variance": [max(0.0, float(w @ rhs))]})
+    """(node, estimate, variance) with a spherical variogram over each node's k nearest observations.
+
+    Neighbours come from ``nearest``; a task solves the small systems of a batch
+    of nodes at once.
+    """
+    o = obs.filter(clean(F.col("v")).isNotNull()).select("id", "lat", "lon", F.col("v").cast("double").alias("v"))
+    middle = o.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).first()
+    if middle["lat"] is None:
+        raise ValueError("no observation")
+    near = nearest(_plane(nodes, *middle, "node"), _plane(o, *middle, "id"), k)
+    rows = near.join(_plane(o, *middle, "id", "v"), "id").join(_plane(nodes, *middle, "node").withColumnsRenamed({"x": "gx", "y": "gy"}), "node")
+    each = rows.groupBy("node").agg(F.first("gx").alias("gx"), F.first("gy").alias("gy"), F.sort_array(F.collect_list(F.struct("rn", "x", "y", "v"))).alias("near"))  # k at most
+    lists = each.select("node", "gx", "gy", *(F.col(f"near.{c}").alias(c) for c in ("x", "y", "v")))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, part in pdf.groupby(pdf["x"].map(len)):
+                x, y, v = (np.array(part[c].tolist(), float).reshape(len(part), n) for c in ("x", "y", "v"))
+                m = np.ones((len(part), n + 1, n + 1))
+                m[:, :n, :n] = _spherical(np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]), range_km, sill, nugget)
+                m[:, n, n] = 0.0
+                away = np.hypot(x - part["gx"].to_numpy()[:, None], y - part["gy"].to_numpy()[:, None])
+                rhs = np.concatenate([_spherical(away, range_km, sill, nugget), np.ones((len(part), 1))], axis=1)
+                w = np.einsum("nij,nj->ni", np.linalg.pinv(m, rcond=1e-12, hermitian=True), rhs)  # points that coincide leave the system singular
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "estimate": (w[:, :n] * v).sum(axis=1), "variance": np.maximum(0.0, (w * rhs).sum(axis=1))})
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return near.groupBy("node").applyInPandas(solve, f"node {kind}, estimate double, variance double")
+    return lists.mapInPandas(solve, f"node {kind}, estimate double, variance double")
+
+
+def regression_kriging(obs: DataFrame, nodes: DataFrame, columns: list[str], *, k: int = 16, range_km: float = 300.0, sill: float = 1.0, nugget: float = 0.0) -> DataFrame:
+    """(node, trend, residual, estimate, variance): a linear trend in the columns, with its residuals kriged.
+
+    ``obs`` and ``nodes`` both hold the columns; rows where one is missing take no
+    part, and such nodes come back null.
+    """
+    whole = lambda df: df.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns))
+    known = whole(obs.filter(clean(F.col("v")).isNotNull()))
+    terms = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
+    n = len(terms)
+    sums = known.agg(*(F.sum(terms[a] * terms[b]).alias(f"a{a}_{b}") for a in range(n) for b in range(a + 1)), *(F.sum(terms[a] * F.col("v")).alias(f"b{a}") for a in range(n))).first()
+    if sums["a0_0"] is None:
+        raise ValueError("no observation")
+    m = np.array([[sums[f"a{max(a, b)}_{min(a, b)}"] for b in range(n)] for a in range(n)], float)
+    coef, *_ = np.linalg.lstsq(m, np.array([sums[f"b{a}"] for a in range(n)], float), rcond=None)
+    trend = F.lit(0.0)
+    for c, t in zip(coef, terms, strict=True):
+        trend = trend + float(c) * t
+    rest = known.select("id", "lat", "lon", (F.col("v") - trend).alias("v"))
+    kriged = ordinary_kriging(rest, whole(nodes).select("node", "lat", "lon"), k=k, range_km=range_km, sill=sill, nugget=nugget)
+    out = nodes.select("node", trend.alias("trend")).join(kriged.withColumnRenamed("estimate", "residual"), "node", "left")
+    return out.select("node", "trend", "residual", (F.col("trend") + F.col("residual")).alias("estimate"), "variance")
+
+
+def fill_gaps(cube: DataFrame, method: str = "auto", *, value: str = "v", time: str = "t", most: float = 0.4) -> DataFrame:
+    """Adds filled and method: gaps by the cell's mean ("mean"), in time ("time"), or by inverse distance in each time step ("idw").
+
+    "auto" takes idw where at most the share ``most`` of all is missing, else the
+    cell's mean. ``cube`` needs lat and lon for idw; a step without values, and
+    what else is left, gets the cell's mean.
+    """
+    if method not in ("auto", "mean", "time", "idw"):
+        raise ValueError(f"unknown method {method!r}")
+    v = clean(F.col(value))
+    if method == "auto":
+        share = cube.agg(F.avg(v.isNull().cast("int"))).first()[0] or 0.0
+        method = "idw" if share <= most and {"lat", "lon"} <= set(cube.columns) else "mean"
+    if method == "time":
+        return time_fill(cube, value=value, time=time).withColumn("method", F.lit("time"))
+    filled = mean_fill(cube, value=value)
+    if method == "mean":
+        return filled.withColumn("method", F.lit("mean"))
+    # Steps are set side by side, farther apart than any two of their cells, so that one search serves all of them.
+    middle = cube.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).first()
+    rows = _plane(cube.withColumn("_v", v), middle["lat"] or 0.0, middle["lon"] or 0.0, *CELL, time, "_v")
+    steps = cube.select(time).distinct()
+    steps = steps.withColumn("_k", F.row_number().over(Window.orderBy(time)) - 1)  # a row a step
+    placed = rows.join(steps, time).withColumn("x", F.col("x") + F.col("_k") * 60_000.0).withColumn("key", F.struct("_k", *CELL))
+    near = nearest(placed.filter("_v IS NULL").select(F.col("key").alias("node"), "x", "y"), placed.filter("_v IS NOT NULL").select(F.col("key").alias("id"), "x", "y"), 8)
+    near = near.filter(F.col("node")["_k"] == F.col("id")["_k"]).join(placed.select(F.col("key").alias("id"), "_v"), "id")
+    w = 1.0 / (F.col("d") * F.col("d") + 1e-12)
+    est = near.groupBy("node").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("_e")).select(F.col("node")["_k"].alias("_k"), *(F.col("node")[c].alias(c) for c in CELL), "_e")
+    out = filled.join(est.join(steps, "_k").drop("_k"), [*CELL, time], "left")
+    return out.withColumn("filled", F.coalesce(v, "_e", "filled")).withColumn("method", F.lit("idw")).drop("_e")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysieve.functions.aqi import category_index, clean
+from skysieve.operators.ranks import cumulative
 
 
 def clean_pairs(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -39,7 +40,7 @@ def metrics_table(df: DataFrame, by: list[str] | None = None, *, y: str = "y_tru
     by = by or []
     pairs = clean_pairs(df, y, p)
     mean = pairs.groupBy(*by).agg(F.avg(y).alias("_mean"))
-    joined = pairs.join(F.broadcast(mean), by) if by else pairs.crossJoin(F.broadcast(mean))  # a row a group; one row without groups
+    joined = pairs.join(mean, by) if by else pairs.crossJoin(F.broadcast(mean))  # one row without groups
     cols = _metric_columns(F.col(y), F.col(p), F.col("_mean"))
     return joined.groupBy(*by).agg(*(c.alias(k) for k, c in cols.items()))
 
@@ -93,8 +94,8 @@ def conformal_level(n: int, alpha: float) -> float:
 def conformal_quantile(scores: DataFrame, alpha: float = 0.1, by: list[str] | None = None, *, score: str = "score") -> DataFrame:
     """(group, q, n): the score of 0-based rank ceil(level (n - 1)) in ascending order.
 
-    The rank is exact and found from counts per distinct score, so a group is
-    never gathered in one array; groups share one shuffle.
+    The rank is exact and found from counts per distinct score, dealt by range, so
+    neither a group nor the whole column is ever sorted in one task.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
@@ -103,16 +104,16 @@ def conformal_quantile(scores: DataFrame, alpha: float = 0.1, by: list[str] | No
     sizes = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"))
     counted = s.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"))
-    upto = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
-    joined = upto.join(F.broadcast(sizes), by) if by else upto.crossJoin(F.broadcast(sizes))
-    return joined.filter(F.col("_upto") > F.ceil(level * (F.col("n") - 1))).groupBy(*by).agg(F.min(score).alias("q"), F.first("n").alias("n"))
+    ranked = cumulative(counted, score, "_c", by)
+    joined = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
+    return joined.filter(F.col("upto") > F.ceil(level * (F.col("n") - 1))).groupBy(*by).agg(F.min(score).alias("q"), F.first("n").alias("n"))
 
 
 def mondrian_intervals(points: DataFrame, calibration: DataFrame, group: str, alpha: float = 0.1, *, point: str = "y_pred") -> DataFrame:
     """Adds lower and upper by the group's quantile, the global one for groups not calibrated."""
     each = conformal_quantile(calibration, alpha, [group]).select(group, F.col("q").alias("_q"))
     whole = conformal_quantile(calibration, alpha).select(F.col("q").alias("_g"))
-    out = points.join(F.broadcast(each), group, "left").crossJoin(F.broadcast(whole))
+    out = points.join(each, group, "left").crossJoin(F.broadcast(whole))
     q = F.coalesce("_q", "_g")
     return out.withColumns({"lower": F.col(point) - q, "upper": F.col(point) + q}).drop("_q", "_g")
 

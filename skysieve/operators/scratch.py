@@ -13,12 +13,14 @@ _OWN: dict[str, str] = {}
 
 
 def folder(df: DataFrame) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset."""
+    """What ``spark.checkpoint.dir`` names; a temporary folder where it is unset and all runs on one machine."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/skysieve-tables-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: executors do not see the driver's own folders")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="skysieve-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from skysieve.constants import EARTH_KM
 from skysieve.functions.aqi import clean
 from skysieve.functions.physics import haversine_km
+from skysieve.operators.nearest import nearest
+from skysieve.operators.ranks import cumulative, quantiles
 from skysieve.operators.scratch import keep
 
 
@@ -31,11 +33,16 @@ def _bucketed(cells: DataFrame, reach: float) -> DataFrame:
     return at("src").select("*", *place("src")).join(near, ["by", "bx"]).filter("src <> dst").withColumn("d", d)
 
 
-def knn_weights(cells: DataFrame, k: int = 8, *, reach: float) -> DataFrame:
-    """(src, dst, w): the k nearest cells (ties by id), each 1/k of the weight. ``reach`` (degrees) must hold k neighbours of every cell; cells with fewer share what they have."""
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    near = _bucketed(cells, reach).withColumn("rn", rank).filter(F.col("rn") <= k)
-    return near.withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("src"))).select("src", "dst", "w")
+def knn_weights(cells: DataFrame, k: int = 8, *, reach: float | None = None) -> DataFrame:
+    """(src, dst, w): the k nearest cells in degrees (ties by id), each 1/k of the weight.
+
+    The search starts with buckets of ``reach`` degrees and widens them for cells
+    that have not k proven neighbours; only with fewer than k + 1 cells in all has
+    a cell fewer, which then share the weight.
+    """
+    at = lambda name: cells.select(F.col("id").alias(name), F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    near = nearest(at("node"), at("id"), k, side=reach, others=True)
+    return near.withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("node"))).select(F.col("node").alias("src"), F.col("id").alias("dst"), "w")
 
 
 def band_weights(cells: DataFrame, band: float) -> DataFrame:
@@ -53,44 +60,60 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def gi_star(cells: DataFrame, weights: DataFrame, *, by: list[str] | None = None) -> DataFrame:
+def gi_star(cells: DataFrame, weights: DataFrame, *, by: list[str] | None = None, permutations: int = 0, seed: int = 42) -> DataFrame:
     """(by, id, z, p): Getis-Ord Gi* with the cell itself among its neighbours, all 1/(k+1); p one-sided, normal.
 
-    A bin with under three values, or without spread, has null z.
+    With ``permutations``, p is the share of conditional draws that reach the
+    cell's sum (not by bins). A bin with under three values, or without spread,
+    has null z.
     """
+    if permutations and by:
+        raise ValueError("permutations are drawn from one field")
     by = by or []
     rows = cells.withColumn("v", clean(F.col("v"))).filter("v IS NOT NULL").select(*by, "id", "v")
     whole = rows.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n"))
     edges = weights.select("src", "dst").unionByName(cells.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct())
     sums = edges.join(rows.withColumnRenamed("id", "dst"), "dst").groupBy(*by, "src").agg(F.sum("v").alias("sv"), F.count(F.lit(1)).alias("c"))
-    joined = sums.join(F.broadcast(whole), by) if by else sums.crossJoin(F.broadcast(whole))
+    joined = sums.join(whole, by) if by else sums.crossJoin(F.broadcast(whole))
     # Weights 1/c: sum w = 1 and sum w^2 = 1/c.
     spread = F.col("s") * F.sqrt((F.col("n") / F.col("c") - 1) / (F.col("n") - 1))
     z = F.when((F.col("n") >= 3) & (F.col("s") > 0), F.try_divide(F.col("sv") / F.col("c") - F.col("m"), spread))
     out = joined.select(*by, F.col("src").alias("id"), z.alias("z")).join(rows.select(*by, "id"), [*by, "id"], "left_semi")
+    if permutations:  # the cell's own value is in every draw, so neighbours decide
+        return out.join(permutation_p(cells, weights, permutations=permutations, seed=seed).withColumnRenamed("pseudo_p", "p"), "id", "left")
     return out.withColumn("p", F.when(F.col("z").isNotNull(), normal_tail(F.abs(F.col("z")))))
 
 
-def local_moran(cells: DataFrame, weights: DataFrame, *, by: list[str] | None = None) -> DataFrame:
-    """(by, id, i, z, lag, p, quadrant): z times the neighbours' mean z; 1 HH, 2 LH, 3 LL, 4 HL; p two-sided by the lag's normal spread."""
+def local_moran(cells: DataFrame, weights: DataFrame, *, by: list[str] | None = None, permutations: int = 0, seed: int = 42) -> DataFrame:
+    """(by, id, i, z, lag, p, quadrant): z times the neighbours' mean z; 1 HH, 2 LH, 3 LL, 4 HL; p two-sided by the lag's normal spread.
+
+    With ``permutations``, p is the share of conditional draws that reach the lag (not by bins).
+    """
+    if permutations and by:
+        raise ValueError("permutations are drawn from one field")
     by = by or []
     rows = cells.withColumn("v", clean(F.col("v"))).filter("v IS NOT NULL").select(*by, "id", "v")
     whole = rows.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    z = (rows.join(F.broadcast(whole), by) if by else rows.crossJoin(F.broadcast(whole))).withColumn("z", F.try_divide(F.col("v") - F.col("m"), F.when(F.col("s") > 0, F.col("s"))))
+    z = (rows.join(whole, by) if by else rows.crossJoin(F.broadcast(whole))).withColumn("z", F.try_divide(F.col("v") - F.col("m"), F.when(F.col("s") > 0, F.col("s"))))
     lag = weights.join(z.select(*by, F.col("id").alias("dst"), F.col("z").alias("zn")), "dst").groupBy(*by, F.col("src").alias("id")).agg((F.sum(F.col("w") * F.col("zn")) / F.sum("w")).alias("lag"), F.count("zn").alias("c"))
     out = z.join(lag, [*by, "id"], "left")
     quadrant = F.when((F.col("z") > 0) & (F.col("lag") > 0), 1).when((F.col("z") <= 0) & (F.col("lag") > 0), 2).when((F.col("z") <= 0) & (F.col("lag") <= 0), 3).when((F.col("z") > 0) & (F.col("lag") <= 0), 4)
     p = F.when(F.col("lag").isNotNull(), F.least(2 * normal_tail(F.abs(F.col("lag")) * F.sqrt(F.col("c").cast("double"))), F.lit(1.0)))
-    return out.select(*by, "id", (F.col("z") * F.col("lag")).alias("i"), "z", "lag", p.alias("p"), quadrant.alias("quadrant"))
+    out = out.select(*by, "id", (F.col("z") * F.col("lag")).alias("i"), "z", "lag", p.alias("p"), quadrant.alias("quadrant"))
+    if permutations:
+        drawn = permutation_p(cells, weights, permutations=permutations, seed=seed).withColumnRenamed("pseudo_p", "p")
+        return out.drop("p").join(drawn, "id", "left").select("id", "i", "z", "lag", "p", "quadrant")
+    return out
 
 
 def permutation_p(cells: DataFrame, weights: DataFrame, *, permutations: int = 199, seed: int = 42) -> DataFrame:
     """(id, pseudo_p): share of random neighbour draws with a mean at least as high (or low) as the cell's own.
 
-    Draws come from all values, with replacement: values are numbered in the
-    order of their ids' digests, and draws are digests of seed, id, turn and place
-    modulo their number, so partitioning does not matter. Means are summed in the
-    values' order, so equal draws tie exactly.
+    Conditional randomisation: a cell's neighbours are drawn from all other
+    values, no value twice in a draw. Values are numbered in the order of their
+    ids' digests, and draws are digests of seed, id, turn and place modulo their
+    number, so partitioning does not matter. Means are summed in the values'
+    order, so equal draws tie exactly.
     """
     rows = cells.withColumn("v", clean(F.col("v"))).filter("v IS NOT NULL").select("id", "v")
     total = rows.count()
@@ -98,12 +121,17 @@ def permutation_p(cells: DataFrame, weights: DataFrame, *, permutations: int = 1
     lots = placed.groupBy("lot").agg(F.count(F.lit(1)).alias("c"))
     before = lots.select("lot", (F.sum("c").over(Window.orderBy("lot")) - F.col("c")).alias("before"))
     within = F.row_number().over(Window.partitionBy("lot").orderBy("h", "id", "v")) - 1
-    numbered = placed.withColumn("within", within).join(before, "lot").select((F.col("before") + F.col("within")).alias("pick"), "v")
+    numbered = placed.withColumn("within", within).join(before, "lot").select((F.col("before") + F.col("within")).alias("pick"), "v", "id")
+    numbered = keep(numbered, "numbered")
 
     middle = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda s, v: s + v) / F.count(F.lit(1))
     mean = weights.join(rows.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(middle.alias("m"), F.count(F.lit(1)).alias("c"))
-    turns = mean.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
-    drawn = turns.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "id", "turn", "place"), F.lit(max(total, 1)))).join(numbered, "pick")
+    mean = mean.join(numbered.groupBy("id").agg(F.min("pick").alias("own")), "id")
+    turns = mean.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    # Others than the cell's own number; more candidates than needed, as some meet.
+    other = lambda place: F.pmod(F.xxhash64(F.lit(seed), "id", "turn", place), F.lit(max(total - 1, 1)))
+    picks = F.transform(F.sequence(F.lit(1).cast("long"), 3 * F.col("c") + 8), lambda place: other(place) + (other(place) >= F.col("own")).cast("long"))
+    drawn = turns.withColumn("pick", F.explode(F.slice(F.array_distinct(picks), F.lit(1), F.col("c").cast("int")))).join(numbered.select("pick", "v"), "pick")
     means = drawn.groupBy("id", "turn").agg(middle.alias("d"), F.first("m").alias("m"))
     above = means.groupBy("id").agg(F.sum((F.col("d") >= F.col("m")).cast("long")).alias("above"))
     return above.select("id", ((F.least("above", F.lit(permutations) - F.col("above")) + 1) / F.lit(permutations + 1)).alias("pseudo_p"))
@@ -120,19 +148,25 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.01, *, by: list[str] |
     """
     by = by or []
     counts = tests.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = counts.withColumn("_k", F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_c").over(w))
-    cut = ranked.filter(F.col("_p") <= F.col("_k") / F.col("_m") * alpha).groupBy(*by).agg(F.max("_p").alias("_cut"))
-    out = tests.join(F.broadcast(cut), by, "left") if by else tests.crossJoin(F.broadcast(cut))
+    ranked = cumulative(counts, "_p", "_c", by)
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
+    ranked = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
+    cut = ranked.filter(F.col("_p") <= F.col("upto") / F.col("_m") * alpha).groupBy(*by).agg(F.max("_p").alias("_cut"))
+    out = tests.join(cut, by, "left") if by else tests.crossJoin(F.broadcast(cut))
     return out.withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def consensus(cells: DataFrame, weights: DataFrame, *, z_spatial: str = "z_spatial", mean: str = "v", gi_alpha: float = 0.01, lisa_alpha: float = 0.05, z_least: float = 2.0, votes: int = 2) -> DataFrame:
-    """(id, gi_vote, lisa_vote, high_vote, votes): cells with at least ``votes`` of a significant hot Gi*, a High-High Moran, and a high anomaly at or above the domain's 95th percentile."""
-    gi = benjamini_hochberg(gi_star(cells, weights), gi_alpha).select("id", (F.col("rejected") & (F.col("z") > 0)).alias("gi_vote"))
-    lisa = local_moran(cells, weights).select("id", (F.coalesce(F.col("p") < lisa_alpha, F.lit(False)) & (F.col("quadrant") == 1)).alias("lisa_vote"))
-    edge = cells.agg(F.percentile(clean(F.col(mean)), F.lit(0.95)).alias("_e"))
-    high = cells.crossJoin(F.broadcast(edge)).select("id", F.coalesce((F.col(z_spatial) > z_least) & (clean(F.col(mean)) >= F.col("_e")), F.lit(False)).alias("high_vote"))
+def consensus(cells: DataFrame, weights: DataFrame, *, z_spatial: str = "z_spatial", mean: str = "v", gi_alpha: float = 0.01, lisa_alpha: float = 0.05, z_least: float = 2.0, votes: int = 2, permutations: int = 0) -> DataFrame:
+    """(id, gi_vote, lisa_vote, high_vote, votes): cells with at least ``votes`` of a significant hot Gi*, a High-High Moran, and a high anomaly at or above the domain's 95th percentile.
+
+    Gi* and Moran are taken on the field's spatial anomaly, so that a gradient
+    over the domain makes no hotspot; only the percentile is of the mean itself.
+    """
+    shape = cells.withColumn("v", F.col(z_spatial))
+    gi = benjamini_hochberg(gi_star(shape, weights, permutations=permutations), gi_alpha).select("id", (F.col("rejected") & (F.col("z") > 0)).alias("gi_vote"))
+    lisa = local_moran(shape, weights, permutations=permutations).select("id", (F.coalesce(F.col("p") < lisa_alpha, F.lit(False)) & (F.col("quadrant") == 1)).alias("lisa_vote"))
+    edge = quantiles(cells, mean, [0.95])[0]
+    high = cells.select("id", F.coalesce((F.col(z_spatial) > z_least) & (clean(F.col(mean)) >= F.lit(edge)), F.lit(False)).alias("high_vote"))
     out = gi.join(lisa, "id").join(high, "id")
     total = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("gi_vote", "lisa_vote", "high_vote")), F.lit(0))
     return out.withColumn("votes", total).filter(F.col("votes") >= votes)
