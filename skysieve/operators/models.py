@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions.aqi import clean
 from skysieve.operators.metrics import conformal_quantile, metrics_table
+from skysieve.operators.scratch import keep
 
 KINDS = ("linear", "forest", "boosted")
 
@@ -118,6 +119,32 @@ def conformal_intervals(calibration: DataFrame, rows: DataFrame, *, label: str,
     return rows.crossJoin(F.broadcast(q)).withColumns({"lower": F.greatest(F.col(prediction) - F.col("_q"), F.lit(0.0)), "upper": F.col(prediction) + F.col("_q")}).drop("_q")
 
 
+def cross_conformal(oof: DataFrame, *, label: str, alpha: float = 0.1, prediction: str = "prediction") -> DataFrame:
+    """Adds lower and upper to out-of-fold predictions; a row's interval comes from the errors of the other folds."""
+    n = oof.select("fold").distinct().count()
+    if n < 2:
+        raise ValueError("intervals need two folds")
+    told = oof.select("fold", F.abs(F.col(label) - F.col(prediction)).alias("score"))
+    folds = told.select("fold").distinct().withColumnRenamed("fold", "of")
+    q = conformal_quantile(told.join(folds, F.col("fold") != F.col("of")), alpha, ["of"]).select(F.col("of").alias("fold"), F.col("q").alias("_q"))
+    return oof.join(q, "fold").withColumns({"lower": F.greatest(F.col(prediction) - F.col("_q"), F.lit(0.0)), "upper": F.col(prediction) + F.col("_q")}).drop("_q")
+
+
+def conformal_quantiles(calibration: DataFrame, rows: DataFrame, *, label: str, alpha: float = 0.1, low: str = "q05", high: str = "q95") -> DataFrame:
+    """Conformalised quantiles: both ends move out by the quantile of how far the calibration's truths lie beyond them (in, where they lie inside)."""
+    beyond = F.greatest(F.col(low) - F.col(label), F.col(label) - F.col(high)).alias("score")
+    q = conformal_quantile(calibration.select(beyond), alpha).select(F.col("q").alias("_q"))
+    return rows.crossJoin(F.broadcast(q)).withColumns({"lower": F.greatest(F.col(low) - F.col("_q"), F.lit(0.0)), "upper": F.col(high) + F.col("_q")}).drop("_q")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def _draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
@@ -147,7 +174,7 @@ def station_folds(rows: DataFrame, n: int | None = None, *, group: str = "statio
         order = F.col(group)
     else:
         order = _draw(F.col(group), seed)
-    own = rows.join(F.broadcast(_numbered(rows, group, order, n, "f")), group)
+    own = rows.join(_numbered(rows, group, order, n, "f"), group)
     return _roles(own, "f", n).select("fold", "id", "role")
 
 
@@ -158,7 +185,7 @@ def time_folds(rows: DataFrame, n: int = 5, *, time: str = "day") -> DataFrame:
     k, m = F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     big, rest = F.floor(m / n), m % n
     fold = F.when(k < rest * (big + 1), F.floor(k / (big + 1))).otherwise(rest + F.floor(F.try_divide(k - rest * (big + 1), F.greatest(big, F.lit(1)))))
-    own = rows.join(F.broadcast(days.withColumn("f", fold.cast("int"))), time)
+    own = rows.join(days.withColumn("f", fold.cast("int")), time)
     return _roles(own, "f", n).select("fold", "id", "role")
 
 
@@ -184,7 +211,7 @@ def spatial_folds(rows: DataFrame, *, block_deg: float = 2.0, buffer_deg: float
     Places, not rows, are compared, and only those in touching buckets.
     """
     blocked = _blocks(rows, block_deg)
-    own = blocked.join(F.broadcast(_numbered(blocked, "block", _draw(F.col("block"), seed), n, "f")), "block")
+    own = blocked.join(_numbered(blocked, "block", _draw(F.col("block"), seed), n, "f"), "block")
     roles = _roles(own, "f", n, ["lat", "lon"])
     if buffer_deg <= 0:
         return roles.select("fold", "id", "role")
@@ -203,7 +230,7 @@ def spatiotemporal_folds(rows: DataFrame, *, block_deg: float = 4.0, block_days:
     blocked = _blocks(rows, block_deg).crossJoin(F.broadcast(first)).withColumn("tb", F.floor(F.datediff(time, "_t0") / block_days)).drop("_t0")
     s = _numbered(blocked, "block", _draw(F.col("block"), seed), n_space, "sf")
     t = _numbered(blocked, "tb", _draw(F.col("tb"), seed + 1), n_time, "tf")
-    own = blocked.join(F.broadcast(s), "block").join(F.broadcast(t), "tb")
+    own = blocked.join(s, "block").join(t, "tb")
     out = own.select("id", "sf", "tf", "tb", F.col(time).alias("day"), F.explode(F.sequence(F.lit(0), F.lit(n_space * n_time - 1))).alias("fold"))
     fs, ft = F.floor(F.col("fold") / n_time), F.col("fold") % n_time
     role = F.when((F.col("sf") == fs) & (F.col("tf") == ft), "test").when((F.col("sf") != fs) & (F.col("tf") != ft), "train")
@@ -221,13 +248,13 @@ def folds(scheme: str, rows: DataFrame, **more) -> DataFrame:  # noqa: ANN003
     return schemes[scheme](rows, **more)
 
 
-def cross_validate(rows: DataFrame, columns: list[str], label: str, split: DataFrame, *, kind: str = "linear", seed: int = 42) -> DataFrame:
+def cross_validate(rows: DataFrame, columns: list[str], label: str, split: DataFrame, *, kind: str = "linear", seed: int = 42, **more) -> DataFrame:  # noqa: ANN003
     """(fold, id, label, prediction): out-of-fold predictions, a fit a fold."""
-    split = split.cache()
+    split = keep(split, "split")
     out = None
     for f in sorted(r[0] for r in split.select("fold").distinct().collect()):
         part = split.filter(F.col("fold") == f)
-        model = fit(rows.join(part.filter("role = 'train'").select("id"), "id"), columns, label, kind, seed=seed)
+        model = fit(rows.join(part.filter("role = 'train'").select("id"), "id"), columns, label, kind, seed=seed, **more)
         held = predict(model, rows.join(part.filter("role = 'test'").select("id"), "id"), columns).select(F.lit(f).alias("fold"), "id", label, "prediction")
         out = held if out is None else out.unionByName(held)
     return out
@@ -259,4 +286,22 @@ def residual_correction(rows: DataFrame, columns: list[str], *, sat: str = "sat"
     return out.withColumn("corrected", clean(F.col(sat)) + F.col("prediction")).select(*rows.columns, "corrected")
 
 
-__all__ = ["blend", "blend_weights", "conformal_intervals", "cross_validate", "cv_ladder", "fit", "fold_summary", "folds", "importances", "predict", "predict_many", "residual_correction", "tree_quantiles", "vector_to_array"]
+def impute_anchor(rows: DataFrame, anchor: str, others: list[str], fallback: str, *, least: int = 50, seed: int = 42, **more) -> DataFrame:  # noqa: ANN003
+    """Adds imputed: the anchor sensor's value, else a forest's from the others where one is there, else the fallback column.
+
+    The forest learns where the anchor and another are present; with fewer than
+    ``least`` such rows the fallback takes its place.
+    """
+    some = F.lit(False)
+    for c in others:
+        some = some | clean(F.col(c)).isNotNull()
+    there = clean(F.col(anchor))
+    train = rows.filter(there.isNotNull() & some)
+    if train.count() < least:
+        return rows.withColumn("imputed", F.coalesce(there, clean(F.col(fallback))))
+    model = fit(train, others, anchor, "forest", seed=seed, **more)
+    out = model.transform(rows.withColumns({c: clean(F.col(c)) for c in others}).withColumn("_anchor", there))
+    return out.withColumn("imputed", F.coalesce("_anchor", F.when(some, F.col("prediction")), clean(F.col(fallback)))).select(*rows.columns, "imputed")
+
+
+__all__ = ["blend", "blend_weights", "conformal_intervals", "conformal_quantiles", "cross_conformal", "cross_validate", "cv_ladder", "fit", "fold_summary", "folds", "importances", "impute_anchor", "load_model", "predict", "predict_many", "residual_correction", "save_model", "tree_quantiles", "vector_to_array"]

@@ -13,79 +13,97 @@ from skysieve.constants import EARTH_M, INDIA_BOX
 from skysieve.functions.aqi import clean
 from skysieve.functions.physics import bearing, compass, wind_dir, wind_speed
 from skysieve.operators.fires import box_cell
+from skysieve.operators.ranks import quantiles
+from skysieve.operators.scratch import keep
 
-#: A wind cube is held whole by each task; it must be no larger than this many values.
-MAX_WIND = 50_000_000
+#: Time steps of the wind whose releases share a slice of it, and trajectories that a task moves at once.
+SPAN, LOT = 24, 5_000
 
 
-def bilinear(field: np.ndarray, lats: np.ndarray, lons: np.ndarray, lat: float, lon: float) -> float:
-    """Bilinear value, held inside the axes; with missing corners the mean of the others, 0 without any."""
-    y = min(max((lat - lats[0]) / (lats[1] - lats[0]), 0.0), len(lats) - 1.0)
-    x = min(max((lon - lons[0]) / (lons[1] - lons[0]), 0.0), len(lons) - 1.0)
-    i, j = min(int(y), len(lats) - 2), min(int(x), len(lons) - 2)
-    box = field[i : i + 2, j : j + 2]
-    if not np.isfinite(box).all():
-        good = box[np.isfinite(box)]
-        return float(good.mean()) if good.size else 0.0
+def bilinear(field: np.ndarray, lats: np.ndarray, lons: np.ndarray, lat: np.ndarray, lon: np.ndarray, k: np.ndarray | int = 0) -> np.ndarray:
+    """Bilinear values of ``field[k]``, held inside the axes; with missing corners the mean of the others, 0 without any."""
+    field = field if field.ndim == 3 else field[None]
+    y = np.clip((np.asarray(lat) - lats[0]) / (lats[1] - lats[0]), 0.0, len(lats) - 1.0)
+    x = np.clip((np.asarray(lon) - lons[0]) / (lons[1] - lons[0]), 0.0, len(lons) - 1.0)
+    i, j = np.minimum(y.astype(int), len(lats) - 2), np.minimum(x.astype(int), len(lons) - 2)
+    box = np.stack([field[k, i, j], field[k, i, j + 1], field[k, i + 1, j], field[k, i + 1, j + 1]])
     a, b = y - i, x - j
-    return float(box[0, 0] * (1 - a) * (1 - b) + box[0, 1] * (1 - a) * b + box[1, 0] * a * (1 - b) + box[1, 1] * a * b)
+    share = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b])
+    good = np.isfinite(box)
+    present = np.where(good, box, 0.0)
+    return np.where(good.all(axis=0), (present * share).sum(axis=0), present.sum(axis=0) / np.maximum(good.sum(axis=0), 1))
 
 
-def step(lat: float, lon: float, u: float, v: float, seconds: float) -> tuple[float, float]:
-    """Moves a point by the wind on a sphere."""
+def step(lat: np.ndarray, lon: np.ndarray, u: np.ndarray, v: np.ndarray, seconds: float) -> tuple[np.ndarray, np.ndarray]:
+    """Moves points by the wind on a sphere."""
     return (
-        max(-90.0, min(90.0, lat + math.degrees(v * seconds / EARTH_M))),
-        lon + math.degrees(u * seconds / (EARTH_M * max(math.cos(math.radians(lat)), 1e-6))),
+        np.clip(lat + np.degrees(v * seconds / EARTH_M), -90.0, 90.0),
+        lon + np.degrees(u * seconds / (EARTH_M * np.maximum(np.cos(np.radians(lat)), 1e-6))),
     )
 
 
 def back_trajectories(wind: DataFrame, releases: DataFrame, *, hours: int = 96, minutes: int = 60, levels: tuple[float, ...] = (500.0,)) -> DataFrame:
-    """(traj_id, step, time, lat, lon, level): midpoint integration back in time, one group a release and level.
+    """(traj_id, step, time, lat, lon, level): midpoint integration back in time.
 
-    ``wind``: time, lat, lon, u, v on a regular grid; gathered once (its size is
-    checked) and broadcast. ``releases``: release_id, time, lat, lon. Level does
-    not change the wind.
+    ``wind``: time, lat, lon, u, v on a regular grid. ``releases``: release_id,
+    time, lat, lon. Level does not change the wind. Releases of ``SPAN`` time
+    steps meet the slice of the wind that their paths can reach, in lots of
+    ``LOT`` that are moved together; only the axes of the grid are gathered.
+    Times beyond the wind's use its first or last step.
     """
-    n = wind.count()
-    if n == 0:
+    spark = wind.sparkSession
+    known = wind.select(F.unix_timestamp("time").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), clean(F.col("u")).alias("u"), clean(F.col("v")).alias("v"))
+    t, lats, lons = (np.array(sorted(r[0] for r in known.select(c).distinct().collect()), float) for c in ("t", "lat", "lon"))
+    if not len(t):
         raise ValueError("no wind")
-    if 2 * n > MAX_WIND:
-        raise ValueError(f"the wind cube has {n} rows; cut it to the area and time of the trajectories")
-    rows = wind.select(F.unix_timestamp("time").alias("t"), "lat", "lon", clean(F.col("u")).alias("u"), clean(F.col("v")).alias("v")).toPandas()
-    t, lats, lons = (np.sort(rows[c].unique()).astype(float) for c in ("t", "lat", "lon"))
-    cube = np.full((2, len(t), len(lats), len(lons)), np.nan)
-    at = tuple(np.searchsorted(a, rows[c].to_numpy(float)) for a, c in ((t, "t"), (lats, "lat"), (lons, "lon")))
-    cube[0][at], cube[1][at] = rows["u"], rows["v"]
-    shared = wind.sparkSession.sparkContext.broadcast((t, lats, lons, cube))
-
-    def wind_at(when: float, lat: float, lon: float) -> tuple[float, float]:
-        t, lats, lons, cube = shared.value
-        k = min(max(int(np.searchsorted(t, when, side="right")) - 1, 0), max(0, len(t) - 2))
-        w = 0.0 if len(t) == 1 else min(max((when - t[k]) / (t[k + 1] - t[k]), 0.0), 1.0)
-        out = []
-        for field in cube:
-            a = bilinear(field[k], lats, lons, lat, lon)
-            out.append(a if w == 0 else a * (1 - w) + w * bilinear(field[k + 1], lats, lons, lat, lon))
-        return out[0], out[1]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        when, lat, lon, dt = float(r["t"]), float(r["lat"]), float(r["lon"]), minutes * 60.0
-        path = [(0, when, lat, lon)]
-        for k in range(1, hours * 60 // minutes + 1):
-            u, v = wind_at(when, lat, lon)
-            mid = step(lat, lon, u, v, -dt / 2)
-            u, v = wind_at(when - dt / 2, *mid)
-            lat, lon = step(lat, lon, u, v, -dt)
-            when -= dt
-            path.append((k, when, lat, lon))
-        out = pd.DataFrame(path, columns=["step", "t", "lat", "lon"])
-        out["traj_id"], out["level"] = r["traj_id"], r["level"]
-        return out[["traj_id", "step", "t", "lat", "lon", "level"]]
-
-    each = releases.select("release_id", F.unix_timestamp("time").alias("t"), "lat", "lon", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    if len(lats) < 2 or len(lons) < 2:
+        raise ValueError("the wind needs two latitudes and two longitudes")
+    each = releases.select("release_id", F.unix_timestamp("time").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.explode(F.array(*map(F.lit, levels))).alias("level"))
     each = each.withColumn("traj_id", F.concat_ws("@", F.col("release_id").cast("string"), F.col("level").cast("string")))
-    out = each.groupBy("traj_id").applyInPandas(run, "traj_id string, step int, t double, lat double, lon double, level double")
+    # A release's span: that of the wind's last step not after it.
+    starts = spark.createDataFrame([(float(t[k]) if k else -math.inf, float(t[k + SPAN]) if k + SPAN < len(t) else math.inf, k // SPAN) for k in range(0, len(t), SPAN)], "since double, until double, span int")
+    each = each.join(F.broadcast(starts), (F.col("t") >= F.col("since")) & (F.col("t") < F.col("until")))
+    sizes = {r[0]: -(-r[1] // LOT) for r in each.groupBy("span").count().collect()}
+    reached = []
+    for span, lots in sizes.items():
+        low = max(0, int(np.searchsorted(t, t[span * SPAN] - hours * 3600.0 - minutes * 60.0, side="right")) - 1)
+        high = min(len(t) - 1, (span + 1) * SPAN)
+        reached += [(int(t[k]), span, lots) for k in range(min(low, max(0, high - 1)), high + 1)]
+    if not reached:
+        return spark.createDataFrame([], "traj_id string, step int, lat double, lon double, level double, time timestamp")
+    slices = spark.createDataFrame(reached, "t long, span int, lots int")
+    known = known.join(slices, "t").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    lots = spark.createDataFrame(list(sizes.items()), "span int, lots int")
+    each = each.join(F.broadcast(lots), "span").withColumn("lot", F.pmod(F.xxhash64("traj_id"), F.col("lots")).cast("int"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(right) or not len(left):
+            return pd.DataFrame({"traj_id": [], "step": [], "t": [], "lat": [], "lon": [], "level": []})
+        times = np.sort(left["t"].unique()).astype(float)
+        cube = np.full((2, len(times), len(lats), len(lons)), np.nan)
+        at = tuple(np.searchsorted(a, left[c].to_numpy(float)) for a, c in ((times, "t"), (lats, "lat"), (lons, "lon")))
+        cube[0][at], cube[1][at] = left["u"], left["v"]
+
+        def wind_at(when: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> list[np.ndarray]:
+            k = np.clip(np.searchsorted(times, when, side="right") - 1, 0, max(0, len(times) - 2))
+            if len(times) == 1:
+                return [bilinear(field, lats, lons, lat, lon, k) for field in cube]
+            w = np.clip((when - times[k]) / (times[k + 1] - times[k]), 0.0, 1.0)
+            return [bilinear(field, lats, lons, lat, lon, k) * (1 - w) + bilinear(field, lats, lons, lat, lon, k + 1) * w for field in cube]
+
+        when, lat, lon = (right[c].to_numpy(float) for c in ("t", "lat", "lon"))
+        dt, path = minutes * 60.0, [(when, lat, lon)]
+        for _ in range(hours * 60 // minutes):
+            mid = step(lat, lon, *wind_at(when, lat, lon), -dt / 2)
+            lat, lon = step(lat, lon, *wind_at(when - dt / 2, *mid), -dt)
+            when = when - dt
+            path.append((when, lat, lon))
+        n = len(right)
+        out = {"traj_id": np.tile(right["traj_id"].to_numpy(), len(path)), "step": np.repeat(np.arange(len(path)), n)}
+        out |= {c: np.concatenate([p[k] for p in path]) for k, c in enumerate(("t", "lat", "lon"))}
+        return pd.DataFrame(out | {"level": np.tile(right["level"].to_numpy(), len(path))})
+
+    out = known.groupBy("span", "lot").cogroup(each.groupBy("span", "lot")).applyInPandas(run, "traj_id string, step int, t double, lat double, lon double, level double")
     return out.withColumn("time", F.timestamp_seconds("t")).drop("t")
 
 
@@ -110,8 +128,8 @@ def cwt(endpoints: DataFrame, *, box: tuple[float, float, float, float] = INDIA_
 
 def pscf(endpoints: DataFrame, *, box: tuple[float, float, float, float] = INDIA_BOX, step: float = 0.5, threshold: float | None = None, quantile: float = 0.75, weighted: bool = True, receptors: DataFrame | None = None) -> DataFrame:
     """The same with the share of endpoints whose receptor value is above the threshold (default: a quantile of the receptors' values)."""
-    cut = (receptors if receptors is not None else endpoints).agg(F.percentile("v", F.lit(quantile)).alias("_cut")) if threshold is None else endpoints.sparkSession.range(1).select(F.lit(float(threshold)).alias("_cut"))
-    flagged = endpoints.crossJoin(F.broadcast(cut)).withColumn("v", (F.col("v") > F.col("_cut")).cast("double"))
+    cut = quantiles(receptors if receptors is not None else endpoints, "v", [quantile])[0] if threshold is None else float(threshold)
+    flagged = endpoints.withColumn("v", (F.col("v") > F.lit(cut)).cast("double"))
     return cwt(flagged, box=box, step=step, weighted=weighted)
 
 
@@ -130,10 +148,10 @@ def polar_bins(rows: DataFrame, *, n_dir: int = 16, n_speed: int = 6, speed_max:
     if statistic not in ("mean", "median", "max"):
         raise ValueError(f"unknown statistic {statistic!r}")
     r = rows.select(wind_speed(F.col("u"), F.col("v")).alias("s"), wind_dir(F.col("u"), F.col("v")).alias("d"), clean(F.col("conc")).alias("c"))
-    top = r.agg(F.greatest(F.percentile("s", F.lit(0.99)), F.lit(1e-6)).alias("_top")) if speed_max is None else rows.sparkSession.range(1).select(F.lit(float(speed_max)).alias("_top"))
-    r = r.na.drop().crossJoin(F.broadcast(top))
+    top = max(quantiles(r, "s", [0.99])[0] or 0.0, 1e-6) if speed_max is None else float(speed_max)
+    r = r.na.drop()
     agg = {"mean": F.avg, "median": F.median, "max": F.max}[statistic]
-    return r.groupBy(_bins(F.col("s"), F.col("_top") / n_speed, n_speed).alias("speed_bin"), _bins(F.col("d"), F.lit(360.0 / n_dir), n_dir).alias("dir_bin")).agg(agg("c").alias("value"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(_bins(F.col("s"), F.lit(top) / n_speed, n_speed).alias("speed_bin"), _bins(F.col("d"), F.lit(360.0 / n_dir), n_dir).alias("dir_bin")).agg(agg("c").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def dominant_direction(polar: DataFrame, n_dir: int = 16) -> DataFrame:
@@ -147,9 +165,8 @@ def dominant_direction(polar: DataFrame, n_dir: int = 16) -> DataFrame:
 def pollution_rose(rows: DataFrame, *, n_dir: int = 16) -> DataFrame:
     """(dir_bin, quartile, n) from u, v, conc; a quartile's lower edge is inside it."""
     r = rows.select(wind_dir(F.col("u"), F.col("v")).alias("d"), clean(F.col("conc")).alias("c")).na.drop()
-    q = r.agg(F.percentile("c", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    quartile = F.size(F.filter("_q", lambda x: x <= F.col("c")))
-    return r.crossJoin(F.broadcast(q)).groupBy(_bins(F.col("d"), F.lit(360.0 / n_dir), n_dir).alias("dir_bin"), quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"))
+    quartile = sum(((F.col("c") >= F.lit(q)).cast("int") for q in quantiles(r, "c", [0.25, 0.5, 0.75])), F.lit(0))
+    return r.groupBy(_bins(F.col("d"), F.lit(360.0 / n_dir), n_dir).alias("dir_bin"), quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def resample_paths(trajectories: DataFrame, n: int = 24) -> DataFrame:
@@ -179,10 +196,11 @@ def angle_distances(paths: DataFrame, origin: tuple[float, float]) -> DataFrame:
 
 def cluster_paths(trajectories: DataFrame, n_clusters: int = 3, origin: tuple[float, float] = (20.0, 78.0), *, n_points: int = 24, seed: int = 42, rounds: int = 100) -> DataFrame:
     """(traj_id, cluster, medoid): k-medoids on angle distances. Distances stay in Spark; only the k medoids are on the driver."""
-    paths = resample_paths(trajectories, n_points).cache()
+    paths = keep(resample_paths(trajectories, n_points), "paths")
     half = angle_distances(paths, origin)
     own = paths.select(F.col("traj_id").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("distance"))
-    dist = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(own).cache()
+    dist = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(own)
+    dist = keep(dist, "distances")
     ids = own.select("a")
     medoids = [r[0] for r in ids.orderBy(F.xxhash64(F.col("a"), F.lit(seed)), "a").limit(n_clusters).collect()]
     if not medoids:
