@@ -25,6 +25,8 @@ COLORS = ("#009865", "#A3C853", "#FFF833", "#F29C33", "#E93F33", "#AF2D24")
 BOXES = {"india": (68.0, 6.0, 98.0, 38.0), "igp": (73.0, 24.0, 88.0, 31.0), "punjab_haryana": (73.5, 28.5, 77.5, 32.5), "forest_belt": (73.0, 18.0, 96.0, 31.0)}
 INDIA_BOX = BOXES["india"]
 EARTH_KM, EARTH_M = 6371.0088, 6371000.0
+# Fixed value: mean area of the coarsest hexagons; each resolution's is a seventh of the one before.
+HEX_KM2 = 4357449.416
 
 # Season of each month.
 SEASONS = {12: "winter", 1: "winter", 2: "winter", 3: "pre_monsoon", 4: "pre_monsoon", 5: "pre_monsoon", 6: "monsoon", 7: "monsoon", 8: "monsoon", 9: "monsoon", 10: "post_monsoon", 11: "post_monsoon"}
@@ -39,11 +41,14 @@ EMISSION_FACTORS = {
 CONSUMPTION, DAY_SECONDS = 0.368, 86400.0
 INVENTORIES = {"FINN": 1.0, "GFAS": 0.7, "QFED": 1.8}
 
+# How far each sensor's depths are trusted against each other.
 SENSOR_RELIABILITY = {"maiac": 1.0, "modis": 0.9, "viirs": 0.8, "insat": 0.5, "merra2": 0.6, "cams": 0.6}
 # Aerosol classes by code, and mass extinction efficiencies (m2/g).
 AEROSOL = ("unknown", "dust", "smoke_absorbing", "fine_nonabsorbing", "mixed")
 EXTINCTION = {"sulfate": 5.0, "organic_carbon": 4.0, "black_carbon": 9.0, "dust": 0.6, "sea_salt": 3.0, "fine_pollution": 4.5, "coarse_dust": 0.7}
 EXTINCTION_BY_CODE = {1: 0.7, 2: 9.0, 3: 4.5, 4: 4.5}
+# Hours of the running mean behind a daily maximum; units other than ug/m3.
 AVERAGING_HOURS = {"co": 8, "o3": 8}
 UNITS = {"co": "mg/m3"}
-MET_FEATURES = ("blh", "t2m", "rh", "wind_u", "wind_v", "wind_speed", "wind_dir", "ssrd", "sp", "tp")
+# Names of the meteorological predictors.
+MET_FEATURES = ("blh", "rh", "wind_speed", "wind_dir", "wind_u", "wind_v", "t2m", "ssrd", "precip", "mslp")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysieve.constants import AEROSOL, BOXES, COMPASS, EXTINCTION, EXTINCTION_BY_CODE, MET_FEATURES, SEASONS
+from skysieve.constants import AEROSOL, BOXES, COMPASS, EARTH_KM, EXTINCTION, EXTINCTION_BY_CODE, HEX_KM2, MET_FEATURES, SEASONS
 from skysieve.functions.aqi import clean
 
 
@@ -167,46 +167,92 @@ def station_id(name: Column, lat: Column, lon: Column) -> Column:
     return F.concat(F.lit("CPCB-"), F.upper(F.substring(F.sha1(place.cast("binary")), 1, 8)))
 
 
+def _hex_width(resolution: Column | int) -> Column:
+    """Half the distance of neighbouring centres' rows, in the unit plane, of hexagons with an area of the sphere's part at a resolution."""
+    r = resolution if isinstance(resolution, Column) else F.lit(resolution)
+    # A regular hexagon of side a has the area 3 sqrt(3) / 2 a^2; HEX_KM2 / 7^r of a sphere of EARTH_KM.
+    return F.sqrt(F.lit(2 * HEX_KM2 / (3 * math.sqrt(3) * EARTH_KM**2)) / F.pow(F.lit(7.0), r))
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of the value, which is computed once and not written out wherever it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _hex_at(x: Column, y: Column, side: Column) -> Column:
+    """Axial numbers (q, r) of the hexagon that holds a place: rounded in cube coordinates, the axis rounded most is the others' rest."""
+
+    def rounded(a: Column) -> Column:
+        dq, dr, ds = F.abs(F.round(a["q"]) - a["q"]), F.abs(F.round(a["r"]) - a["r"]), F.abs(F.round(a["s"]) - a["s"])
+        q = F.when((dq > dr) & (dq > ds), -F.round(a["r"]) - F.round(a["s"])).otherwise(F.round(a["q"]))
+        r = F.when((dq > dr) & (dq > ds), F.round(a["r"])).when(dr > ds, -F.round(a["q"]) - F.round(a["s"])).otherwise(F.round(a["r"]))
+        return F.struct(q.cast("long").alias("q"), r.cast("long").alias("r"))
+
+    def axial(p: Column) -> Column:
+        q, r = (math.sqrt(3) / 3 * p["x"] - p["y"] / 3) / p["side"], (2 / 3 * p["y"]) / p["side"]
+        return _let(F.struct(q.alias("q"), r.alias("r")), lambda a: _let(F.struct(a["q"].alias("q"), a["r"].alias("r"), (-a["q"] - a["r"]).alias("s")), rounded))
+
+    return _let(F.struct(x.alias("x"), y.alias("y"), side.alias("side")), axial)
+
+
+def _hex_name(resolution: Column | int, q: Column, r: Column) -> Column:
+    """Null where a number is missing."""
+    res = resolution.cast("string") if isinstance(resolution, Column) else F.lit(str(resolution))
+    return F.concat(res, F.lit(":"), q.cast("string"), F.lit(":"), r.cast("string"))
+
+
 def cell_id(lat: Column, lon: Column, resolution: int = 7) -> Column:
-    """Equal-angle cell of 360 / 2^(resolution + 4) degrees as ``r:i:j``; missing coordinates give null.
+    """Hexagonal cell as ``resolution:q:r``; missing coordinates give null.
 
-    It stands where hexagonal ids would and is not compatible with them.
+    Hexagons tile the equal-area cylindrical plane (x: longitude, y: sine of
+    latitude), so a resolution's cells have one area everywhere, a seventh of the
+    next coarser's; the areas are those of the common icosahedral system, but ids
+    are not, and cells do not join across the date line.
     """
-    step = 360.0 / 2 ** (resolution + 4)
-    i, j = F.floor((clean(lat) + 90) / step), F.floor((clean(lon) + 180) / step)
-    return F.when(i.isNotNull() & j.isNotNull(), F.concat_ws(":", F.lit(str(resolution)), i.cast("string"), j.cast("string")))
+    at = _hex_at(F.radians(clean(lon)), F.sin(F.radians(clean(lat))), _hex_width(resolution))
+    return _let(at, lambda h: _hex_name(resolution, h["q"], h["r"]))
+
 
+def _parts(cell: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of resolution, q and r."""
+    return _let(F.split(cell, ":"), lambda p: body(p[0].cast("int"), p[1].cast("long"), p[2].cast("long")))
 
-def _parts(cell: Column) -> tuple[Column, Column, Column]:
-    p = F.split(cell, ":")
-    return p[0].cast("int"), p[1].cast("long"), p[2].cast("long")
+
+def _hex_place(res: Column, q: Column, r: Column) -> Column:
+    side = _hex_width(res)
+    return F.struct((side * (math.sqrt(3) * q + math.sqrt(3) / 2 * r)).alias("x"), (side * 1.5 * r).alias("y"))
 
 
 def cell_center(cell: Column) -> tuple[Column, Column]:
-    r, i, j = _parts(cell)
-    step = F.lit(360.0) / F.pow(F.lit(2.0), r + 4)
-    return (i + 0.5) * step - 90, (j + 0.5) * step - 180
+    """Latitude and longitude; centres of cells over a pole's edge are held to the pole."""
+    at = _parts(cell, _hex_place)
+    return F.degrees(F.asin(F.least(F.greatest(at["y"], F.lit(-1.0)), F.lit(1.0)))), F.degrees(at["x"])
 
 
 def cell_resolution(cell: Column) -> Column:
-    return _parts(cell)[0]
+    return F.split(cell, ":")[0].cast("int")
 
 
 def cell_parent(cell: Column, resolution: int) -> Column:
-    r, i, j = _parts(cell)
-    up = F.pow(F.lit(2.0), r - resolution)
-    return F.when(cell.isNotNull(), F.concat_ws(":", F.lit(str(resolution)), F.floor(i / up).cast("string"), F.floor(j / up).cast("string")))
+    """The coarser cell that holds the cell's centre."""
+    up = lambda at: _let(_hex_at(at["x"], at["y"], _hex_width(resolution)), lambda h: _hex_name(resolution, h["q"], h["r"]))
+    return _let(_parts(cell, _hex_place), up)
 
 
 def cell_disk(cell: Column, k: int = 1) -> Column:
-    """The cell and its neighbours within k steps, as an array of (2k + 1)^2 ids."""
-    r, i, j = _parts(cell)
-    steps = [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1)]
-    return F.array(*(F.concat_ws(":", r.cast("string"), (i + a).cast("string"), (j + b).cast("string")) for a, b in steps))
+    """The cell and its neighbours within k steps, as an array of 3k(k + 1) + 1 ids."""
+    steps = [(a, b) for a in range(-k, k + 1) for b in range(max(-k, -a - k), min(k, -a + k) + 1)]
+    return _parts(cell, lambda res, q, r: F.array(*(_hex_name(res, q + a, r + b) for a, b in steps)))
 
 
 def disk_size(k: int) -> int:
-    return (2 * k + 1) ** 2
+    return 3 * k * (k + 1) + 1
+
+
+def cell_distance(a: Column, b: Column) -> Column:
+    """Steps from cell to cell, of one resolution."""
+    q, r = (F.split(b, ":")[k].cast("long") - F.split(a, ":")[k].cast("long") for k in (1, 2))
+    return ((F.abs(q) + F.abs(r) + F.abs(q + r)) / 2).cast("long")
 
 
 def add_physics_features(df: DataFrame) -> DataFrame:
