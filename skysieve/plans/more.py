@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.operators import features, fires, grids, models, spatial, transport
+from skysieve.operators.scratch import keep
 from skysieve.plans import objectives
 from skysieve.plans import views as V
+from skysieve.plans.queries import _fill_inputs
 from skysieve.plans.views import FIVE, R4, r4
 from skysieve.sources import readers, synthetic
 from skysieve.streaming import aqi as stream
@@ -29,42 +31,37 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_P = "st AS (SELECT DISTINCT user_id AS station, 8.0 + (user_id * 37 % 2800) / 100.0 AS lat, 70.0 + (user_id * 61 % 2600) / 100.0 AS lon FROM events), p AS (SELECT event_id AS id, user_id % 50 AS station, CAST(ts AS DATE) AS day, 8.0 + (user_id * 37 % 2800) / 100.0 AS lat, 70.0 + (user_id * 61 % 2600) / 100.0 AS lon, value FROM events WHERE event_type IN ('error', 'signup'))"
+_P = "st AS (SELECT DISTINCT user_id AS station, 8.0 + (user_id * 37 % 2800) / 100.0 AS lat, 70.0 + (user_id * 61 % 2600) / 100.0 AS lon FROM events), p AS (SELECT event_id AS id, user_id % 50 AS station, CAST(ts AS DATE) AS day, 8.0 + (user_id * 37 % 2800) / 100.0 AS lat, 70.0 + (user_id * 61 % 2600) / 100.0 AS lon, value FROM events)"
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.read(spark, d, "events").filter("event_type IN ('error', 'signup')")
-    return rows.select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("station"), F.to_date("ts").alias("day"), (F.lit(8.0) + (F.col("user_id") * 37 % 2800) / 100.0).alias("lat"), (F.lit(70.0) + (F.col("user_id") * 61 % 2600) / 100.0).alias("lon"), "value")
+    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("station"), F.to_date("ts").alias("day"), (F.lit(8.0) + (F.col("user_id") * 37 % 2800) / 100.0).alias("lat"), (F.lit(70.0) + (F.col("user_id") * 61 % 2600) / 100.0).alias("lon"), "value")
 
 
-_COUNT = " SELECT fold, role, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM r GROUP BY 1, 2"
+_ROWS = " SELECT fold, id, role FROM r"
 
 
-def _counted(folds: DataFrame) -> DataFrame:
-    return folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
-
-
-@query(f"WITH {_P}, f AS (SELECT id, CAST(CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS own FROM p), r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM f, (SELECT unnest(range(5)) AS k))" + _COUNT)
+@query(f"WITH {_P}, f AS (SELECT id, CAST(CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS own FROM p), r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM f, (SELECT unnest(range(5)) AS k))" + _ROWS)
 def cv_random(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(models.random_folds(_panel(spark, d)))
+    return models.random_folds(_panel(spark, d))
 
 
-@query(f"WITH {_P}, g AS (SELECT station, CAST((row_number() OVER (ORDER BY md5('42:' || station), station) - 1) % 4 AS INTEGER) AS own FROM (SELECT DISTINCT station FROM p)), r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM p JOIN g USING (station), (SELECT unnest(range(4)) AS k))" + _COUNT)
+@query(f"WITH {_P}, g AS (SELECT station, CAST((row_number() OVER (ORDER BY md5('42:' || station), station) - 1) % 4 AS INTEGER) AS own FROM (SELECT DISTINCT station FROM p)), r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM p JOIN g USING (station), (SELECT unnest(range(4)) AS k))" + _ROWS)
 def cv_leave_station_out(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(models.station_folds(_panel(spark, d), 4))
+    return models.station_folds(_panel(spark, d), 4)
 
 
 _DAYS = lambda n: f"g AS (SELECT day, CAST(ntile({n}) OVER (ORDER BY day) - 1 AS INTEGER) AS own FROM (SELECT DISTINCT day FROM p))"
 
 
-@query(f"WITH {_P}, {_DAYS(5)}, r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM p JOIN g USING (day), (SELECT unnest(range(5)) AS k))" + _COUNT)
+@query(f"WITH {_P}, {_DAYS(5)}, r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM p JOIN g USING (day), (SELECT unnest(range(5)) AS k))" + _ROWS)
 def cv_time_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(models.time_folds(_panel(spark, d), 5))
+    return models.time_folds(_panel(spark, d), 5)
 
 
-@query(f"WITH {_P}, {_DAYS(5)}, r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN own = k + 1 THEN 'test' ELSE 'train' END AS role FROM p JOIN g USING (day), (SELECT unnest(range(4)) AS k) WHERE own <= k + 1)" + _COUNT)
+@query(f"WITH {_P}, {_DAYS(5)}, r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN own = k + 1 THEN 'test' ELSE 'train' END AS role FROM p JOIN g USING (day), (SELECT unnest(range(4)) AS k) WHERE own <= k + 1)" + _ROWS)
 def cv_forward_chaining(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(models.forward_folds(_panel(spark, d), 4))
+    return models.forward_folds(_panel(spark, d), 4)
 
 
 _BLOCK = "b AS (SELECT p.*, CAST(floor((lat - (SELECT min(lat) FROM p)) / 4.0) AS BIGINT) || ':' || CAST(floor((lon - (SELECT min(lon) FROM p)) / 4.0) AS BIGINT) AS block FROM p)"
@@ -72,16 +69,16 @@ _BLOCK = "b AS (SELECT p.*, CAST(floor((lat - (SELECT min(lat) FROM p)) / 4.0) A
 
 @query(f"""WITH {_P}, {_BLOCK}, g AS (SELECT block, CAST((row_number() OVER (ORDER BY md5('42:' || block), block) - 1) % 4 AS INTEGER) AS own FROM (SELECT DISTINCT block FROM b)), o AS (SELECT b.*, own FROM b JOIN g USING (block)), pl AS (SELECT DISTINCT lat, lon, own FROM o),
 near AS (SELECT DISTINCT a.lat, a.lon, t.own AS fold FROM pl a JOIN pl t ON a.own <> t.own AND greatest(abs(a.lat - t.lat), abs(a.lon - t.lon)) < 0.5),
-r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM o, (SELECT unnest(range(4)) AS k) WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.lat = o.lat AND near.lon = o.lon AND near.fold = k AND k <> own))""" + _COUNT)
+r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN k = own THEN 'test' ELSE 'train' END AS role FROM o, (SELECT unnest(range(4)) AS k) WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.lat = o.lat AND near.lon = o.lon AND near.fold = k AND k <> own))""" + _ROWS)
 def cv_spatial_blocks_buffer(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(models.spatial_folds(_panel(spark, d), block_deg=4.0, buffer_deg=0.5))
+    return models.spatial_folds(_panel(spark, d), block_deg=4.0, buffer_deg=0.5)
 
 
 @query(f"""WITH {_P}, {_BLOCK}, t AS (SELECT b.*, CAST(floor(date_diff('day', (SELECT min(day) FROM p), day) / 7) AS BIGINT) AS tb FROM b), g AS (SELECT block, CAST((row_number() OVER (ORDER BY md5('42:' || block), block) - 1) % 3 AS INTEGER) AS sf FROM (SELECT DISTINCT block FROM t)),
 h AS (SELECT tb, CAST((row_number() OVER (ORDER BY md5('43:' || tb), tb) - 1) % 3 AS INTEGER) AS tf FROM (SELECT DISTINCT tb FROM t)), o AS (SELECT id, sf, tf FROM t JOIN g USING (block) JOIN h USING (tb)),
-r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN sf = k // 3 AND tf = k % 3 THEN 'test' ELSE 'train' END AS role FROM o, (SELECT unnest(range(9)) AS k) WHERE (sf = k // 3) = (tf = k % 3))""" + _COUNT)
+r AS (SELECT id, CAST(k AS INTEGER) AS fold, CASE WHEN sf = k // 3 AND tf = k % 3 THEN 'test' ELSE 'train' END AS role FROM o, (SELECT unnest(range(9)) AS k) WHERE (sf = k // 3) = (tf = k % 3))""" + _ROWS)
 def cv_spatiotemporal(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(models.spatiotemporal_folds(_panel(spark, d), block_deg=4.0, block_days=7))
+    return models.spatiotemporal_folds(_panel(spark, d), block_deg=4.0, block_days=7)
 
 
 _TRAIN = ["l_quantity", "l_discount", "l_tax"]
@@ -100,10 +97,10 @@ def model_linear_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_boosted_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals for every row, predicted and calibrated by folds that the row is not in."""
     rows = _table(spark, d)
-    model = models.fit(rows.filter("id % 4 <> 0"), _TRAIN, "y", "boosted", trees=5, depth=4)
-    held = models.predict(model, rows.filter("id % 4 = 0"), _TRAIN)
-    return models.conformal_intervals(held.filter("id % 8 = 0"), held, label="y").select("id", "prediction", "lower", "upper")
+    oof = models.cross_validate(rows, _TRAIN, "y", models.random_folds(rows, 2), kind="boosted", trees=5, depth=4)
+    return models.cross_conformal(oof, label="y").select("id", "prediction", "lower", "upper")
 
 
 @query()
@@ -137,9 +134,14 @@ def dineof_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kriging_fill(spark: SparkSession, d: str) -> DataFrame:
-    st = V.stations(spark, d)
-    obs = st.filter("station % 3 = 0").select(F.col("station").alias("id"), "lat", "lon", (F.col("station") % 97 + 0.5).alias("v"))
-    return grids.ordinary_kriging(obs, st.filter("station % 3 = 1").select(F.col("station").alias("node"), "lat", "lon"))
+    return grids.ordinary_kriging(*_fill_inputs(spark, d))
+
+
+@query()
+def regression_kriging(spark: SparkSession, d: str) -> DataFrame:
+    obs, nodes = _fill_inputs(spark, d)
+    height = (F.col("lat") * 3 + F.col("lon")).alias("height")
+    return grids.regression_kriging(obs.select("*", height), nodes.select("*", height), ["height"])
 
 
 @query()
@@ -159,21 +161,27 @@ def gi_star_permutation(spark: SparkSession, d: str) -> DataFrame:
     return spatial.permutation_p(cells, spatial.knn_weights(cells, 8, reach=4.0), permutations=99)
 
 
-def _paths(spark: SparkSession) -> DataFrame:
-    cube = synthetic.grid(spark, "2023-10-01", 4, step=4.0)
-    wind = cube.select(F.col("day").cast("timestamp").alias("time"), "lat", "lon", F.col("wind_u").alias("u"), F.col("wind_v").alias("v"))
-    releases = spark.range(6).select(F.col("id").alias("release_id"), F.lit("2023-10-04").cast("timestamp").alias("time"), (22.0 + F.col("id")).alias("lat"), (76.0 + F.col("id")).alias("lon"))
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths back from every station, in the wind of the line items' grid."""
+    line = V.read(spark, d, "lineitem")
+    i, j = (F.col("l_suppkey") % 20).alias("i"), (F.col("l_partkey") % 20).alias("j")
+    cells = line.groupBy(F.date_trunc("month", "l_shipdate").alias("time"), i, j).agg(*(F.avg((F.col(c) - m) * 400).alias(n) for c, m, n in (("l_discount", 0.05, "u"), ("l_tax", 0.04, "v"))))
+    wind = cells.select(F.col("time").cast("timestamp").alias("time"), (8.0 + 1.4 * F.col("i")).alias("lat"), (70.0 + 1.3 * F.col("j")).alias("lon"), "u", "v")
+    at = F.timestamp_seconds(F.lit(820454400) + F.col("station") % 365 * 86400)  # a day of 1996
+    releases = V.stations(spark, d).select(F.col("station").alias("release_id"), at.alias("time"), "lat", "lon")
     return transport.back_trajectories(wind, releases, hours=48)
 
 
 @query()
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark)
+    return _paths(spark, d)
 
 
 @query()
 def trajectory_pathways(spark: SparkSession, d: str) -> DataFrame:
-    paths = _paths(spark).cache()
+    """Clusters of each release day's mean path over all stations (all pairs of paths meet, so days, not stations)."""
+    day = (F.split("traj_id", "@")[0].cast("long") % 365).cast("string").alias("traj_id")
+    paths = keep(_paths(spark, d).groupBy(day, "step").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")), "paths")
     return transport.pathways(transport.cluster_paths(paths, 2), transport.resample_paths(paths), (24.0, 78.0))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysieve.constants import BREAKPOINTS, CATEGORIES, EMISSION_FACTORS, INDEX_HIGH, INDEX_LOW, INVENTORIES
+from skysieve.constants import BREAKPOINTS, CATEGORIES, EARTH_KM, EMISSION_FACTORS, HEX_KM2, INDEX_HIGH, INDEX_LOW, INVENTORIES
 from skysieve.functions import aqi, physics
 from skysieve.operators import features, fires, grids, metrics, spatial, stations, transport
 from skysieve.plans import views as V
@@ -179,10 +180,12 @@ def fires_daily_dense(spark: SparkSession, d: str) -> DataFrame:
     return fires.daily_series(V.fires(spark, d)).select("date", "fire_count", r4(F.col("frp_sum")).alias("frp_sum"))
 
 
-_STEP7 = 360.0 / 2**11
+_SIDE7 = f"sqrt({2 * HEX_KM2 / (3 * math.sqrt(3) * EARTH_KM**2)!r} / pow(7.0, 7))"
+_HEX7 = f"""h AS (SELECT date, frp, ({math.sqrt(3) / 3!r} * radians(lon) - sin(radians(lat)) / 3) / {_SIDE7} AS q, ({2 / 3!r} * sin(radians(lat))) / {_SIDE7} AS r FROM fires), c AS (SELECT date, frp, q, r, -q - r AS s, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM h),
+x AS (SELECT date, frp, CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN -rr - rs ELSE rq END AS q, CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN rr WHEN abs(rr - r) > abs(rs - s) THEN -rq - rs ELSE rr END AS r FROM c)"""
 
 
-@query(f"WITH {V.FIRES_SQL} SELECT '7:' || CAST(floor((lat + 90) / {_STEP7}) AS BIGINT) || ':' || CAST(floor((lon + 180) / {_STEP7}) AS BIGINT) AS cell, date AS day, count(*) AS fire_count, {R4('sum(frp)')} AS fire_frp_sum FROM fires GROUP BY 1, 2")
+@query(f"WITH {V.FIRES_SQL}, {_HEX7} SELECT '7:' || CAST(q AS BIGINT) || ':' || CAST(r AS BIGINT) AS cell, date AS day, count(*) AS fire_count, {R4('sum(frp)')} AS fire_frp_sum FROM x GROUP BY 1, 2")
 def fires_per_cell(spark: SparkSession, d: str) -> DataFrame:
     return features.fire_counts(V.fires(spark, d)).withColumn("fire_frp_sum", r4(F.col("fire_frp_sum")))
 
@@ -444,7 +447,12 @@ def spatial_anomaly(spark: SparkSession, d: str) -> DataFrame:
     return grids.spatial_anomaly(_field(spark, d), degree=None).select("i", "j", r4(F.col("z_spatial")).alias("z_spatial"))
 
 
-@query(None)
+_TERMS = ["1.0", "y", "y * y", "x", "x * y", "x * x"]
+_SURFACE = f"""WITH {_FIELD}, e AS (SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM f), p AS (SELECT i, j, v, 2.0 * (j - j0) / (j1 - j0) - 1 AS x, 2.0 * (i - i0) / (i1 - i0) - 1 AS y FROM f, e),
+{V.least_squares_sql("p", _TERMS, "v", "fit")}, r AS (SELECT i, j, v - ({" + ".join(f"c{k} * {t}" for k, t in enumerate(_TERMS))}) AS r FROM p, fit)"""
+
+
+@query(f"{_SURFACE}, m AS (SELECT median(r) AS med FROM r), s AS (SELECT median(abs(r - med)) * 1.4826 AS sc FROM r, m) SELECT i, j, {R4('(r - med) / sc')} AS z_spatial FROM r, m, s")
 def spatial_anomaly_detrended(spark: SparkSession, d: str) -> DataFrame:
     return grids.spatial_anomaly(_field(spark, d), degree=2).select("i", "j", r4(F.col("z_spatial")).alias("z_spatial"))
 
@@ -509,16 +517,21 @@ def box_mean(spark: SparkSession, d: str) -> DataFrame:
     return grids.box_mean(_field(spark, d)).select("i", "j", r4(F.col("box_mean")).alias("box_mean"))
 
 
-_OBS_IDW = f"{V.STATIONS_SQL}, o AS (SELECT station AS id, lat, lon, station % 97 + 0.5 AS v FROM st WHERE station % 3 = 0), n AS (SELECT station AS node, lat, lon FROM st WHERE station % 3 = 1)"
+#: Every station is an observation; the nodes are those of the view's whole grid.
+_OBS_IDW = f"{V.STATIONS_SQL}, o AS (SELECT station AS id, lat, lon, station % 97 + 0.5 AS v FROM st), n AS (SELECT i * 100 + j AS node, 8.0 + 1.4 * i AS lat, 70.0 + 1.3 * j AS lon FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j))"
+
+
+def _fill_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    obs = V.stations(spark, d).select(F.col("station").alias("id"), "lat", "lon", (F.col("station") % 97 + 0.5).alias("v"))
+    i, j = F.floor(F.col("id") / 20), F.col("id") % 20
+    return obs, spark.range(400).select((i * 100 + j).alias("node"), (8.0 + 1.4 * i).alias("lat"), (70.0 + 1.3 * j).alias("lon"))
 
 
 @query(f"""WITH {_OBS_IDW}, m AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM o), po AS (SELECT id, v, radians(lon - lon0) * cos(radians(lat0)) * 6371.0088 AS x, radians(lat - lat0) * 6371.0088 AS y FROM o, m),
 pn AS (SELECT node, radians(lon - lon0) * cos(radians(lat0)) * 6371.0088 AS x, radians(lat - lat0) * 6371.0088 AS y FROM n, m), d AS (SELECT node, id, v, sqrt((po.x - pn.x) ** 2 + (po.y - pn.y) ** 2) AS d FROM pn, po),
 k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, id) AS rn FROM d), e AS (SELECT node, sum(v / pow(d * d + 1e-12, 1.0)) / sum(1 / pow(d * d + 1e-12, 1.0)) AS est FROM k WHERE rn <= 8 GROUP BY 1) SELECT node, {R4('est')} AS estimate FROM e""")
 def idw_fill(spark: SparkSession, d: str) -> DataFrame:
-    st = V.stations(spark, d)
-    obs = st.filter("station % 3 = 0").select(F.col("station").alias("id"), "lat", "lon", (F.col("station") % 97 + 0.5).alias("v"))
-    return grids.idw(obs, st.filter("station % 3 = 1").select(F.col("station").alias("node"), "lat", "lon")).select("node", r4(F.col("estimate")).alias("estimate"))
+    return grids.idw(*_fill_inputs(spark, d)).select("node", r4(F.col("estimate")).alias("estimate"))
 
 
 @query(f"""WITH {_FIELD}, {V.STATIONS_SQL}, p AS (SELECT station AS node, (lat - 8.0) / 1.4 AS y, (lon - 70.0) / 1.3 AS x FROM st), k AS (SELECT *, least(floor(y), 18) AS i0, least(floor(x), 18) AS j0 FROM p WHERE y BETWEEN 0 AND 19 AND x BETWEEN 0 AND 19),
@@ -567,7 +580,18 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     return spatial.benjamini_hochberg(tests, 0.05).groupBy("rejected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+_Z_SPATIAL = "zs AS (SELECT c.*, (v - m) / (1.4826 * s) AS z_spatial FROM cells c, (SELECT median(v) AS m FROM cells), (SELECT median(abs(v - (SELECT median(v) FROM cells))) AS s FROM cells))"
+_VOTES = f"""WITH {_KNN}, {_Z_SPATIAL}, s AS (SELECT avg(z_spatial) AS m, stddev_pop(z_spatial) AS sd, count(*) AS n FROM zs), es AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM cells),
+g AS (SELECT src AS id, sum(z_spatial) AS sv, count(*) AS c FROM es JOIN zs ON zs.id = es.dst GROUP BY 1), gi AS (SELECT g.id, (sv / c - m) / (sd * sqrt((n / c::DOUBLE - 1) / (n - 1))) AS z FROM g, s),
+gp AS (SELECT id, z, {_TAIL('abs(z)')} AS p FROM (SELECT id, z, 1 / (1 + 0.2316419 * abs(z)) AS tt FROM gi)),
+k AS (SELECT p, count(*) AS c FROM gp GROUP BY 1), r AS (SELECT p, sum(c) OVER (ORDER BY p) AS rk, sum(c) OVER () AS m FROM k), cut AS (SELECT max(p) AS cut FROM r WHERE p <= rk / m * 0.2),
+zm AS (SELECT id, (z_spatial - m) / sd AS z FROM zs, s), lag AS (SELECT src AS id, avg(zm.z) AS lag, count(*) AS c FROM e JOIN zm ON zm.id = e.dst GROUP BY 1),
+lp AS (SELECT zm.id, z, lag, 2 * {_TAIL('x')} AS p FROM (SELECT zm.id, zm.z, lag, abs(lag) * sqrt(c) AS x, 1 / (1 + 0.2316419 * abs(lag) * sqrt(c)) AS tt FROM zm JOIN lag USING (id)) AS zm),
+v AS (SELECT zs.id, coalesce(gp.p <= cut AND gp.z > 0, false) AS gi_vote, least(lp.p, 1) < 0.2 AND lp.z > 0 AND lp.lag > 0 AS lisa_vote, z_spatial > 2 AND zs.v >= (SELECT quantile_cont(v, 0.95) FROM cells) AS high_vote FROM zs JOIN gp USING (id) JOIN lp USING (id), cut)
+SELECT id, gi_vote, lisa_vote, high_vote, CAST(gi_vote AS INTEGER) + CAST(lisa_vote AS INTEGER) + CAST(high_vote AS INTEGER) AS votes FROM v WHERE gi_vote OR lisa_vote OR high_vote"""
+
+
+@query(_VOTES)
 def consensus_votes(spark: SparkSession, d: str) -> DataFrame:
     field = grids.spatial_anomaly(_field(spark, d), degree=None)
     cells = field.select((F.col("i") * 100 + F.col("j")).alias("id"), F.col("i").cast("double").alias("lat"), F.col("j").cast("double").alias("lon"), "v", "z_spatial")
@@ -632,12 +656,12 @@ def peak_cell(spark: SparkSession, d: str) -> DataFrame:
     return transport.peak_cell(transport.cwt(_endpoints(spark, d), box=V.BOX, step=2.0)).select("lat", "lon", r4(F.col("value")).alias("value"))
 
 
-@query(f"""WITH {V.STATIONS_SQL}, n AS (SELECT station, {_NODE} FROM st WHERE station % 5 = 0), {V.GRID_SQL}, {V.FIRES_SQL},
+@query(f"""WITH {V.STATIONS_SQL}, n AS (SELECT station, {_NODE} FROM st), {V.GRID_SQL}, {V.FIRES_SQL},
 fc AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS t, count(*) AS c FROM fires GROUP BY 1) SELECT n.station, g.t AS day, {R4('g.v')} AS v, {R4('lag(g.v) OVER (PARTITION BY n.station ORDER BY g.t)')} AS v_lag1, coalesce(fc.c, 0) AS fire_count FROM n JOIN grid g USING (i, j) LEFT JOIN fc ON fc.t = g.t""")
 def feature_matrix_join(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d).filter("station % 5 = 0")
+    nodes = _nodes(spark, d)
     burnt = V.fires(spark, d).groupBy(F.to_date(F.date_trunc("quarter", "date")).alias("day")).agg(F.count(F.lit(1)).alias("fire_count"))
-    rows = features.long_samples(V.grid(spark, d).withColumnRenamed("t", "day"), nodes).join(F.broadcast(burnt), "day", "left").na.fill(0, ["fire_count"])
+    rows = features.long_samples(V.grid(spark, d).withColumnRenamed("t", "day"), nodes).join(burnt, "day", "left").na.fill(0, ["fire_count"])
     out = features.add_lags(rows, ["v"], [1], group="station")
     return out.select("station", "day", r4(F.col("v")).alias("v"), r4(F.col("v_lag1")).alias("v_lag1"), "fire_count")
 

@@ -10,7 +10,7 @@ from skysieve.functions.aqi import clean
 from skysieve.functions.physics import aod_550, cell_id, in_box
 from skysieve.operators.stations import normalise_records
 
-#: Sensor labels of the fire network's product names.
+# Sensor labels of the fire network's product names, and its column names.
 SENSORS = {"VIIRS_SNPP_NRT": "VIIRS-SNPP", "VIIRS_NOAA20_NRT": "VIIRS-NOAA20", "VIIRS_NOAA21_NRT": "VIIRS-NOAA21", "MODIS_NRT": "MODIS"}
 FIRE_COLUMNS = "latitude STRING, longitude STRING, bright_ti4 STRING, scan STRING, track STRING, acq_date STRING, acq_time STRING, satellite STRING, instrument STRING, confidence STRING, version STRING, bright_ti5 STRING, frp STRING, daynight STRING"
 
@@ -26,8 +26,8 @@ def read_parquet(spark: SparkSession, path: str, *, start: str | None = None, en
 
 
 def read_fires(spark: SparkSession, path: str, source: str = "VIIRS_SNPP_NRT", *, box: tuple[float, float, float, float] = INDIA_BOX) -> DataFrame:
-    """Fire CSV to (date, lat, lon, frp, sensor, cell); rows without place or date drop, bad numbers are null, broken files are skipped."""
-    raw = spark.read.schema(FIRE_COLUMNS).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(path)
+    """Fire CSV to (date, lat, lon, frp, sensor, cell); rows without place or date drop, bad numbers are null; a broken file fails the read."""
+    raw = spark.read.schema(FIRE_COLUMNS).option("header", True).option("mode", "PERMISSIVE").csv(path)
     return standardise_fires(raw, source, box=box)
 
 
