@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysieve.functions import physics
-from skysieve.operators import features, fires, grids, metrics, models, spatial, stations, transport
+from skysieve.operators import features, fires, grids, metrics, models, ranks, spatial, stations, transport
+from skysieve.operators.nearest import nearest
 from skysieve.sources import readers, synthetic
 
 
@@ -17,12 +18,28 @@ def test_physics(spark):
     row = spark.range(1).select(
         physics.growth(c(0.0)).alias("a"), physics.growth(c(101.0)).alias("b"), physics.fnr(c(2e-5), c(1e-9)).alias("c"), physics.wind_dir(c(1.0), c(0.0)).alias("d"),
         physics.wind_dir(c(0.0), c(0.0)).alias("e"), physics.compass(c(350.0)).alias("f"), physics.relative_humidity(c(300.0), c(300.0)).alias("g"), physics.season_of(c(dt.date(2024, 10, 1))).alias("h"),
-        physics.cell_parent(physics.cell_id(c(10.0), c(70.0), 7), 5).alias("i"), physics.cell_id(c(10.0), c(70.0), 5).alias("j"), physics.pm25_from_species(c(None), c(1e-9), c(None), c(None), c(None)).alias("k"),
+        physics.cell_parent(physics.cell_id(c(10.0), c(70.0), 7), 5).alias("i"), physics.cell_id(*physics.cell_center(physics.cell_id(c(10.0), c(70.0), 7)), 5).alias("j"), physics.pm25_from_species(c(None), c(1e-9), c(None), c(None), c(None)).alias("k"),
     ).first()
     assert row.a == 1.0 and row.b is None and row.c is None and row.d == 270.0 and row.e == 180.0 and row.f == "N"
     assert math.isclose(row.g, 100.0) and row.h == "post_monsoon" and row.i == row.j and math.isclose(row.k, 1.6)
 
 
+def test_hexagonal_cells(spark):
+    rng = np.random.default_rng(12)
+    places = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(-60, 60, 400), rng.uniform(-170, 170, 400), strict=True)] + [(None, 1.0), (float("nan"), 1.0)], "lat double, lon double")
+    cell = physics.cell_id(F.col("lat"), F.col("lon"), 6)
+    rows = places.select(cell.alias("c")).select("c", physics.cell_id(*physics.cell_center(F.col("c")), 6).alias("back"), physics.cell_disk(F.col("c"), 2).alias("disk"), physics.cell_resolution(F.col("c")).alias("res"))
+    got = rows.collect()
+    known = [r for r in got if r.c is not None]
+    assert len(known) == 400 and all(r.back == r.c and r.res == 6 and len(set(r.disk)) == 19 == physics.disk_size(2) and r.c in r.disk for r in known)
+    apart = rows.filter("c IS NOT NULL").select("c", F.explode("disk").alias("d")).select(physics.cell_distance(F.col("c"), F.col("d")).alias("n"), F.radians(physics.cell_center(F.col("d"))[1]).alias("x")).groupBy("n").count()
+    assert {r.n: r["count"] for r in apart.collect()} == {0: 400, 1: 2400, 2: 4800}
+    # Cells of a resolution hold equal parts of the sphere, a seventh of the coarser's.
+    many = spark.range(200_000).select((F.asin(0.2 + 0.2 * F.rand(1)) * 180 / math.pi).alias("lat"), (70 + 20 * F.rand(2)).alias("lon"))
+    counts = [many.select(physics.cell_id(F.col("lat"), F.col("lon"), k).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0] for k in (2, 3)]
+    assert 5 < counts[0] / counts[1] < 8.5
+
+
 def test_rolling_maximum_keeps_missing_hours(spark):
     hours = [h for h in range(24) if h not in (8, 9)]
     rows = [("s", dt.datetime(2024, 1, 1, h), "co", 50.0 if 2 <= h <= 7 else 1.0) for h in hours]
@@ -131,12 +148,69 @@ def test_quantile_map_recovers_scale(spark):
     assert math.isclose(got[0].mapped, 101.0, abs_tol=1e-6) and math.isclose(got[1].mapped, 601.0, abs_tol=1e-6) and got[2].mapped is None
 
 
+def test_nearest_against_brute_force(spark):
+    """Far nodes, ties, crowds and fewer points than asked for."""
+    rng = np.random.default_rng(6)
+    pts = np.r_[rng.normal(0, 1, (150, 2)), rng.normal(40, 0.1, (100, 2)), np.repeat([[7.0, 7.0]], 5, axis=0)]
+    nodes = np.r_[rng.normal(0, 3, (30, 2)), [[500.0, -300.0], [40.0, 40.0], [7.0, 7.0]]]
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(pts)], "id int, x double, y double")
+    n = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(nodes)], "node int, x double, y double")
+    for k in (1, 8):
+        want = {(a, int(i), r + 1) for a, (x, y) in enumerate(nodes) for r, i in enumerate(np.lexsort((np.arange(len(pts)), np.hypot(pts[:, 0] - x, pts[:, 1] - y)))[:k])}
+        assert {(r.node, r.id, r.rn) for r in nearest(n, p, k).collect()} == want
+    few = nearest(n, p.filter("id < 3"), 8)
+    assert few.count() == 3 * len(nodes) and nearest(n, p.limit(0), 8).count() == 0 and nearest(n.limit(0), p, 8).count() == 0
+    own = nearest(p.withColumnRenamed("id", "node"), p, 2, others=True)
+    assert own.filter("node = id").count() == 0 and own.count() == 2 * len(pts)
+
+
+def test_ranks_hold_no_column_in_one_task(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=999), 2)
+    df = spark.createDataFrame([(float(v), int(k % 3)) for k, v in enumerate(x)] + [(None, 0), (float("nan"), 1)], "v double, g int").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.937, 1.0]
+    assert np.allclose(ranks.quantiles(df, "v", probs), np.quantile(x, probs)) and ranks.quantiles(df.limit(0), "v", [0.5]) == [None]
+    counts = df.filter("v IS NOT NULL AND NOT isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    for r in ranks.cumulative(counts, "v", "c", ["g"]).collect():
+        assert r.upto == int((x[np.arange(999) % 3 == r.g] <= r.v).sum())
+
+
+def test_kriging_and_its_trend(spark):
+    rng = np.random.default_rng(5)
+    place = rng.uniform(10, 12, (60, 2))
+    rows = [(k, float(a), float(b), float(3 * a + b), float(a)) for k, (a, b) in enumerate(place)]
+    obs = spark.createDataFrame(rows, "id int, lat double, lon double, v double, h double")
+    at = spark.createDataFrame([(k, float(a), float(b), float(a)) for k, (a, b) in enumerate(place[:5])] + [(9, 11.0, 11.0, None)], "node int, lat double, lon double, h double")
+    got = {r.node: r for r in grids.ordinary_kriging(obs, at).collect()}
+    assert all(abs(got[k].estimate - rows[k][3]) < 1e-6 and got[k].variance < 1e-6 for k in range(5)) and abs(got[9].estimate - 44) < 0.5
+    both = {r.node: r for r in grids.regression_kriging(obs, at, ["h"]).collect()}
+    assert all(abs(both[k].estimate - rows[k][3]) < 1e-6 for k in range(5)) and both[9].estimate is None
+
+
+def test_fill_gaps(spark):
+    rows = [(i, j, t, 10.0 + i, 70.0 + j, None if (i, j, t) in ((1, 1, 0), (2, 2, 1)) else float(i + j + 10 * t)) for i in range(4) for j in range(4) for t in range(2)]
+    cube = spark.createDataFrame(rows, "i int, j int, t int, lat double, lon double, v double")
+    got = {(r.i, r.j, r.t): r for r in grids.fill_gaps(cube).collect()}
+    assert len(got) == 32 and {r.method for r in got.values()} == {"idw"}
+    assert abs(got[1, 1, 0].filled - 2) < 0.3 and abs(got[2, 2, 1].filled - 14) < 0.3 and got[0, 0, 1].filled == 10
+    assert {r.filled for r in grids.fill_gaps(cube, "mean").filter("i = 1 AND j = 1").collect()} == {12.0}
+    with pytest.raises(ValueError):
+        grids.fill_gaps(cube, "magic")
+
+
+def test_cross_conformal_calibrates_on_other_folds(spark):
+    oof = spark.createDataFrame([(k % 2, k, 0.0, 1.0 if k % 2 else 5.0) for k in range(100)], "fold int, id int, y double, prediction double")
+    got = models.cross_conformal(oof, label="y").collect()
+    assert len(got) == 100 and {(r.fold, r.upper - r.prediction) for r in got} == {(0, 1.0), (1, 5.0)}
+    q = spark.createDataFrame([(k, float(k), 2.0, 6.0) for k in range(10)], "id int, y double, q05 double, q95 double")
+    wide = models.conformal_quantiles(q, q, label="y").first()
+    assert wide.lower == 0.0 and wide.upper == 9.0
+
+
 def test_idw_exact_hit(spark):
     obs = spark.createDataFrame([(1, 20.0, 75.0, 5.0), (2, 25.0, 80.0, 9.0)], "id int, lat double, lon double, v double")
     got = grids.idw(obs, spark.createDataFrame([(1, 20.0, 75.0)], "node int, lat double, lon double")).first()
     assert math.isclose(got.estimate, 5.0, abs_tol=1e-6)
-    near = grids.idw(obs, spark.createDataFrame([(1, 20.0, 75.0)], "node int, lat double, lon double"), reach=100.0).first()
-    assert math.isclose(near.estimate, 5.0)
     with pytest.raises(ValueError):
         grids.idw(obs.filter("id > 5"), obs.select(F.col("id").alias("node"), "lat", "lon"))
 
