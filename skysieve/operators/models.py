@@ -249,13 +249,13 @@ def folds(scheme: str, rows: DataFrame, **more) -> DataFrame:  # noqa: ANN003
 
 
 def cross_validate(rows: DataFrame, columns: list[str], label: str, split: DataFrame, *, kind: str = "linear", seed: int = 42, **more) -> DataFrame:  # noqa: ANN003
-    """(fold, id, label, prediction): out-of-fold predictions, a fit a fold."""
+    """(fold, id, label, prediction): out-of-fold predictions, a fit a fold. Rows that share an id share its fold."""
     split = keep(split, "split")
     out = None
     for f in sorted(r[0] for r in split.select("fold").distinct().collect()):
         part = split.filter(F.col("fold") == f)
-        model = fit(rows.join(part.filter("role = 'train'").select("id"), "id"), columns, label, kind, seed=seed, **more)
-        held = predict(model, rows.join(part.filter("role = 'test'").select("id"), "id"), columns).select(F.lit(f).alias("fold"), "id", label, "prediction")
+        model = fit(rows.join(part.filter("role = 'train'").select("id"), "id", "left_semi"), columns, label, kind, seed=seed, **more)
+        held = predict(model, rows.join(part.filter("role = 'test'").select("id"), "id", "left_semi"), columns).select(F.lit(f).alias("fold"), "id", label, "prediction")
         out = held if out is None else out.unionByName(held)
     return out
 

@@ -29,7 +29,7 @@ def cumulative(rows: DataFrame, order: str, count: str, by: list[str] | None = N
 def quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float | None]:
     """The column's exact quantiles, linear between neighbours; nulls and NaN left out, all null where nothing is left."""
     counts = df.select(clean(F.col(value)).alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    ranked = keep(cumulative(counts, "x", "c"), "ranks")
+    ranked = cumulative(counts, "x", "c")
     n = ranked.agg(F.max("upto")).first()[0]
     if not n:
         return [None] * len(probs)

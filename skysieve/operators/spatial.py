@@ -8,6 +8,7 @@ square buckets of a reach, so cost follows the number of cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -223,34 +224,53 @@ def dbscan(points: DataFrame, *, eps_km: float = 25.0, least: int = 5, eps_days:
     return out.select("id", F.coalesce("label", "edge", F.lit(-1)).alias("cluster"))
 
 
-def hull(points: list[tuple[float, float]], buffer: float = 0.05) -> str:
-    """WKT of the convex hull (lon lat); under three distinct points, or on a line, a square around their box."""
+def ring(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull in turn; points on a line leave their ends, at most two corners."""
     pts = sorted(set(points))
     turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    ring: list[tuple[float, float]] = []
+    out: list[tuple[float, float]] = []
     for half in (pts, pts[::-1]):
         part: list[tuple[float, float]] = []
         for p in half:
             while len(part) >= 2 and turn(part[-2], part[-1], p) <= 0:
                 part.pop()
             part.append(p)
-        ring += part[:-1]
-    if len(ring) < 3:
-        xs, ys = [p[0] for p in pts], [p[1] for p in pts]
+        out += part[:-1]
+    return out or pts
+
+
+def hull(points: list[tuple[float, float]], buffer: float = 0.05) -> str:
+    """WKT of the convex hull (lon lat); under three distinct points, or on a line, a square around their box."""
+    corners = ring(points)
+    if len(corners) < 3:
+        xs, ys = [p[0] for p in corners], [p[1] for p in corners]
         a, b, c, d = min(xs) - buffer, min(ys) - buffer, max(xs) + buffer, max(ys) + buffer
-        ring = [(a, b), (c, b), (c, d), (a, d)]
-    return "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + "))"
+        corners = [(a, b), (c, b), (c, d), (a, d)]
+    return "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*corners, corners[0]]) + "))"
 
 
 def hotspot_polygons(points: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cluster, n_cells, mean_z, max_z, geometry) of clusters, noise left out."""
-    rows = points.join(clusters.filter("cluster <> -1"), "id")
+    """(cluster, n_cells, mean_z, max_z, geometry) of clusters, noise left out.
+
+    Tasks send only the corners of what they hold of a cluster, so a cluster of
+    any size is a few rows a task where its hull is made.
+    """
+    rows = points.join(clusters.filter("cluster <> -1"), "id").select("cluster", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("v").cast("double").alias("v"))
+    kind = clusters.schema["cluster"].dataType.simpleString()
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby("cluster"):
+                x, y = zip(*ring(list(zip(part["lon"], part["lat"], strict=True))), strict=True)
+                yield pd.DataFrame({"cluster": name, "lat": y, "lon": x})
 
     def shape(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "n_cells": [len(pdf)], "mean_z": [pdf["v"].mean()], "max_z": [pdf["v"].max()], "geometry": [hull(list(zip(pdf["lon"], pdf["lat"], strict=True)))]})
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "geometry": [hull(list(zip(pdf["lon"], pdf["lat"], strict=True)))]})
 
-    kind = clusters.schema["cluster"].dataType.simpleString()
-    return rows.select("cluster", "lat", "lon", F.col("v").cast("double").alias("v")).groupBy("cluster").applyInPandas(shape, f"cluster {kind}, n_cells long, mean_z double, max_z double, geometry string")
+    partial = rows.select("cluster", "lat", "lon").na.drop().mapInPandas(corners, f"cluster {kind}, lat double, lon double")
+    shapes = partial.groupBy("cluster").applyInPandas(shape, f"cluster {kind}, geometry string")
+    told = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cells"), F.avg("v").alias("mean_z"), F.max("v").alias("max_z"))
+    return told.join(shapes, "cluster")
 
 
 def mann_kendall(x: np.ndarray, alpha: float = 0.05) -> tuple[float | None, float | None, float | None]:
@@ -287,15 +307,18 @@ def normal_quantile(p: float) -> float:
 
 
 def trends(cells: DataFrame, *, value: str = "v", time: str = "t", alpha: float = 0.05) -> DataFrame:
-    """(id, n, trend_z, trend_p, sen_slope) of each cell's series."""
+    """(id, n, trend_z, trend_p, sen_slope) of each cell's series, which travel as one array a cell."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, p, slope = mann_kendall(pdf.sort_values("t")["v"].to_numpy(float), alpha)
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n": [int(pdf["v"].notna().sum())], "trend_z": [z], "trend_p": [p], "sen_slope": [slope]})
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [mann_kendall(np.array(a, float), alpha) for a in pdf["a"]]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(a) for a in pdf["a"]], **{c: pd.Series([m[k] for m in made], index=pdf.index, dtype=float) for k, c in enumerate(("trend_z", "trend_p", "sen_slope"))}})
 
     kind = cells.schema["id"].dataType.simpleString()
-    rows = cells.select("id", F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("id").applyInPandas(fit, f"id {kind}, n long, trend_z double, trend_p double, sen_slope double")
+    v = clean(F.col(value)).cast("double")
+    dated = F.struct(F.col(time).alias("t"), v.alias("v"))
+    series = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.when(v.isNotNull(), dated))).alias("a")).select("id", F.col("a.v").alias("a"))
+    return series.mapInPandas(fit, f"id {kind}, n long, trend_z double, trend_p double, sen_slope double").replace(float("nan"), None, ["trend_z", "trend_p", "sen_slope"])
 
 
 def sen_slope(cells: DataFrame, *, value: str = "v", time: str = "t") -> DataFrame:
