@@ -207,6 +207,35 @@ def test_cross_conformal_calibrates_on_other_folds(spark):
     assert wide.lower == 0.0 and wide.upper == 9.0
 
 
+def test_polygons_from_partial_hulls(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(a), float(b), float(k)) for k, (a, b) in enumerate(rng.uniform(0, 1, (300, 2)))] + [(900, 5.0, 5.0, None), (901, 6.0, 6.0, 1.0), (902, 7.0, 7.0, 2.0)]
+    points = spark.createDataFrame(rows, "id int, lat double, lon double, v double").repartition(5)
+    clusters = spark.createDataFrame([(k, -1 if k == 299 else 0) for k in range(300)] + [(900, 1), (901, 1), (902, 1)], "id int, cluster int")
+    got = {r.cluster: r for r in spatial.hotspot_polygons(points, clusters).collect()}
+    corners = spatial.ring([(b, a) for _, a, b, _ in rows[:299]])
+    assert set(got) == {0, 1} and got[0].n_cells == 299 and got[0].max_z == 298.0
+    assert {tuple(map(float, p.split())) for p in got[0].geometry[10:-2].split(", ")} == set(corners)
+    assert got[1].mean_z == 1.5 and got[1].geometry.count(",") == 4  # on a line: a square
+
+
+def test_trends_skip_missing_steps(spark):
+    rows = [("up", t, float(t)) for t in range(12)] + [("gap", t, None if t % 2 else float("nan")) for t in range(6)] + [("flat", t, 1.0) for t in range(6)]
+    got = {r.id: r for r in spatial.trends(spark.createDataFrame(rows, "id string, t int, v double")).collect()}
+    assert got["up"].n == 12 and got["up"].sen_slope == 1.0 and got["up"].trend_p < 0.05
+    assert got["gap"].n == 0 and got["gap"].trend_p is None and got["flat"].n == 6 and got["flat"].trend_z is None
+
+
+def test_outer_merge_and_sequences_with_missing_values(spark):
+    a = spark.createDataFrame([(1, 1.0, 5.0), (2, None, 6.0)], "k int, x double, y double")
+    b = spark.createDataFrame([(2, 2.0), (3, 3.0), (None, 4.0)], "k int, x double")
+    got = sorted(((r.k, r.x, r.y) for r in grids.outer_merge([a, b], ["k"]).collect()), key=str)
+    assert got == sorted([(1, 1.0, 5.0), (2, 2.0, 6.0), (3, 3.0, None), (None, 4.0, None)], key=str)
+    rows = [("s", dt.date(2024, 1, k + 1), None if k == 2 else float(k)) for k in range(5)] + [("t", dt.date(2024, 1, 1), 1.0)]
+    seq = features.sequences(spark.createDataFrame(rows, "station string, day date, v double"), ["v"], window=3).collect()
+    assert len(seq) == 3 and {r.station for r in seq} == {"s"} and all(len(r["values"]) == 3 for r in seq)
+
+
 def test_idw_exact_hit(spark):
     obs = spark.createDataFrame([(1, 20.0, 75.0, 5.0), (2, 25.0, 80.0, 9.0)], "id int, lat double, lon double, v double")
     got = grids.idw(obs, spark.createDataFrame([(1, 20.0, 75.0)], "node int, lat double, lon double")).first()
