@@ -10,6 +10,16 @@ import uuid
 from pyspark.sql import DataFrame
 
 _OWN: dict[str, str] = {}
+_NAMED: set[str] = set()
+
+
+def _clear(jvm, where: str) -> None:  # noqa: ANN001
+    """Deletes the application's tables when its driver ends; what cannot be reached by then stays."""
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone
+        pass
 
 
 def folder(df: DataFrame) -> str:
@@ -18,7 +28,11 @@ def folder(df: DataFrame) -> str:
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/skysieve-tables-{app}"
+        where = f"{named.rstrip('/')}/skysieve-tables-{app}"
+        if where not in _NAMED:
+            _NAMED.add(where)
+            atexit.register(_clear, spark.sparkContext._jvm, where)
+        return where
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir: executors do not see the driver's own folders")
     if app not in _OWN:
