@@ -89,10 +89,39 @@ def _table(spark: SparkSession, d: str) -> DataFrame:
     return line
 
 
-@query()
+def _ridge_sql(rows: str, label: str, name: str, where: str = "true") -> tuple[str, str]:
+    """Tables of a ridge on standardised columns x0 to x2, and the prediction: the correlations' system with the penalty, over the label's deviation, on its diagonal."""
+    of = range(3)
+    z = lambda c: f"({c} - m_{c}) / s_{c}"
+    means = f"m_{name} AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in ('x0', 'x1', 'x2', label))} FROM {rows} WHERE {where})"
+    cells = [f"avg({z(f'x{a}')} * {z(f'x{b}')}){f' + max(0.01 / s_{label})' if a == b else ''} AS a{a}_{b}" for a in of for b in of] + [f"avg({z(f'x{a}')} * {z(label)}) AS b{a}" for a in of]
+    solved = V.solved_sql(f"SELECT {', '.join(cells)} FROM {rows}, m_{name} WHERE {where}", 3, f"w_{name}")
+    return f"{means}, {solved}", f"(m_{label} + s_{label} * ({' + '.join(f'c{a} * {z(f'x{a}')}' for a in of)}))"
+
+
+_LINES = "WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2, CAST(l_extendedprice AS DOUBLE) AS y, l_extendedprice - l_quantity * 1000 AS rest FROM lineitem)"
+
+
+def _linear_cv_sql() -> str:
+    out = [_LINES, "f AS (SELECT *, CAST(CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) % 2 AS INTEGER) AS own FROM t)"]
+    for k in (0, 1):
+        tables, told = _ridge_sql("f", "y", f"f{k}", f"own <> {k}")
+        out += [tables, f"p{k} AS (SELECT {k} AS fold, y, greatest({told}, 0.0) AS p FROM f, m_f{k}, w_f{k} WHERE own = {k})"]
+    out.append("o AS (SELECT *, avg(y) OVER (PARTITION BY fold) AS mean FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1))")
+    sse = "sum((p - y) * (p - y))"
+    told = {
+        "r": "corr(y, p)", "r2": f"1 - {sse} / sum((y - mean) * (y - mean))", "rmse": "sqrt(avg((p - y) * (p - y)))", "mae": "avg(abs(p - y))", "mbe": "avg(p - y)", "nmb": "sum(p - y) / sum(y)",
+        "nme": "sum(abs(p - y)) / sum(y)", "ioa": f"1 - {sse} / sum((abs(p - mean) + abs(y - mean)) * (abs(p - mean) + abs(y - mean)))",
+    }
+    out.append("e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, {sql} AS x FROM o GROUP BY fold" for n, sql in told.items()) + ")")
+    return ", ".join(out) + f" SELECT metric, {R4('avg(x)')} AS mean, {R4('stddev_pop(x)')} AS std FROM e GROUP BY 1"
+
+
+@query(_linear_cv_sql())
 def model_linear_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d)
-    return models.fold_summary(models.cross_validate(rows, _TRAIN, "y", models.random_folds(rows, 2)), "y")
+    told = models.fold_summary(models.cross_validate(rows, _TRAIN, "y", models.random_folds(rows, 2)), "y")
+    return told.select("metric", r4(F.col("mean")).alias("mean"), r4(F.col("std")).alias("std"))
 
 
 @query()
@@ -109,19 +138,27 @@ def model_forest_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return models.tree_quantiles(models.fit(rows, _TRAIN, "y", "forest", trees=8, depth=5), rows, _TRAIN).select("id", "q05", "q50", "q95")
 
 
-@query()
+_ALL, _TOLD = _ridge_sql("t", "y", "all")
+_BLEND = f"""{_LINES}, {_ALL}, m AS (SELECT id, y, greatest({_TOLD}, 0.0) AS m1, x0 * 1000 AS m2 FROM t, m_all, w_all),
+e AS (SELECT k / 20.0 AS w, avg((k / 20.0 * m1 + (1 - k / 20.0) * m2 - y) ** 2) AS err FROM m, (SELECT unnest(range(21)) AS k) GROUP BY 1), best AS (SELECT min_by(w, err) AS w FROM e)"""
+
+
+@query(f"{_BLEND} SELECT id, floor(greatest(w * m1 + (1 - w) * m2, 0.0) + 0.5) AS blend FROM m, best")
 def model_blend(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d)
     two = models.predict(models.fit(rows, _TRAIN, "y", "linear"), rows, _TRAIN, as_name="m1")
     two = two.withColumn("m2", F.col("l_quantity") * 1000)
     weights = models.blend_weights(two, ["m1", "m2"], "y")
-    return models.blend(two, ["m1", "m2"], weights).select("id", "blend")
+    return models.blend(two, ["m1", "m2"], weights).select("id", F.floor(F.col("blend") + 0.5).cast("double").alias("blend"))
 
 
-@query()
+_REST, _MISS = _ridge_sql("t", "rest", "rest")
+
+
+@query(f"{_LINES}, {_REST} SELECT id, floor(x0 * 1000 + {_MISS} + 0.5) AS corrected FROM t, m_rest, w_rest")
 def residual_correction(spark: SparkSession, d: str) -> DataFrame:
     rows = V.read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *_TRAIN, (F.col("l_quantity") * 1000).alias("sat"), F.col("l_extendedprice").alias("obs"))
-    return models.residual_correction(rows, _TRAIN, kind="linear").select("id", "corrected")
+    return models.residual_correction(rows, _TRAIN, kind="linear").select("id", F.floor(F.col("corrected") + 0.5).cast("double").alias("corrected"))
 
 
 @query()

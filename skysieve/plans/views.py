@@ -81,12 +81,18 @@ WIND_SQL = "wind AS (SELECT l_orderkey, l_linenumber, round((l_discount - 0.05)
 SOURCES_SQL = "src AS (SELECT CAST(l_suppkey % 20 AS INTEGER) AS i, CAST(l_partkey % 20 AS INTEGER) AS j, l_returnflag AS source, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
-def least_squares_sql(rows: str, terms: list[str], target: str, name: str) -> str:
-    """Common table expressions that end in ``name`` (c0, c1, ...): the normal equations of the terms, solved by Gauss-Jordan steps."""
-    n = range(len(terms))
-    out = [f"{name}_0 AS (SELECT {', '.join(f'sum(({terms[p]}) * ({terms[q]})) AS a{p}_{q}' for p in n for q in n)}, {', '.join(f'sum(({terms[p]}) * ({target})) AS b{p}' for p in n)} FROM {rows})"]
-    for k in n:
+def solved_sql(first: str, n: int, name: str) -> str:
+    """Common table expressions that end in ``name`` (c0, c1, ...): a system (a0_0, ..., b0, ...) selected by ``first``, solved by Gauss-Jordan steps."""
+    out = [f"{name}_0 AS ({first})"]
+    for k in range(n):
         step = lambda r, c: f"{c.format(k)} / a{k}_{k}" if r == k else f"{c.format(r)} - a{r}_{k} * {c.format(k)} / a{k}_{k}"
-        cells = [f"{step(r, f'a{{}}_{q}')} AS a{r}_{q}" for r in n for q in n if q > k] + [f"{step(r, 'b{}')} AS b{r}" for r in n]
+        cells = [f"{step(r, f'a{{}}_{q}')} AS a{r}_{q}" for r in range(n) for q in range(k + 1, n)] + [f"{step(r, 'b{}')} AS b{r}" for r in range(n)]
         out.append(f"{name}_{k + 1} AS (SELECT {', '.join(cells)} FROM {name}_{k})")
-    return ", ".join([*out, f"{name} AS (SELECT {', '.join(f'b{k} AS c{k}' for k in n)} FROM {name}_{len(terms)})"])
+    return ", ".join([*out, f"{name} AS (SELECT {', '.join(f'b{k} AS c{k}' for k in range(n))} FROM {name}_{n})"])
+
+
+def least_squares_sql(rows: str, terms: list[str], target: str, name: str) -> str:
+    """The normal equations of the terms, solved."""
+    n = range(len(terms))
+    sums = [f"sum(({terms[p]}) * ({terms[q]})) AS a{p}_{q}" for p in n for q in n] + [f"sum(({terms[p]}) * ({target})) AS b{p}" for p in n]
+    return solved_sql(f"SELECT {', '.join(sums)} FROM {rows}", len(terms), name)
