@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skysieve.operators.scratch import keep
 
 
-def nearest(nodes: DataFrame, points: DataFrame, k: int, *, side: float | None = None, others: bool = False) -> DataFrame:
+def nearest(nodes: DataFrame, points: DataFrame, k: int, *, side: float | None = None, others: bool = False, tie: float = 0.0) -> DataFrame:
     """(node, id, d, rn): the k nearest points of each node, ties by id; all points where there are fewer.
 
     ``nodes``: node, x, y. ``points``: id, x, y. Rows meet by square buckets of
@@ -18,7 +18,9 @@ def nearest(nodes: DataFrame, points: DataFrame, k: int, *, side: float | None =
     and its k nearest are proven once the k-th is no farther than the side.
     Nodes not proven go on with buckets of twice the side, until one round's
     buckets span all, so sparse regions cost a few nodes a few wide buckets.
-    With ``others`` a point with the node's own key is no neighbour.
+    With ``others`` a point with the node's own key is no neighbour. Distances
+    that follow one another by at most ``tie`` count as one, so places that mirror
+    each other around a node tie by id however their coordinates were rounded.
     """
     box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     around = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -33,11 +35,11 @@ def nearest(nodes: DataFrame, points: DataFrame, k: int, *, side: float | None =
     left, done = nodes, None
     while True:
         last = side >= span
-        near = _round(left, points, k, side, low, bottom, others)
+        near = _round(left, points, k, side, low, bottom, others, tie)
         if last:
             return near if done is None else done.unionByName(near)
         near = keep(near, "near")
-        proven = near.groupBy("node").agg(F.max("rn").alias("c"), F.max("d").alias("far")).filter((F.col("c") >= k) & (F.col("far") <= side)).select("node")
+        proven = near.groupBy("node").agg(F.max("rn").alias("c"), F.max("d").alias("far")).filter((F.col("c") >= k) & (F.col("far") <= side - tie)).select("node")
         good = near.join(proven, "node", "left_semi")
         done = good if done is None else done.unionByName(good)
         left = keep(left.join(proven, "node", "left_anti"), "left")
@@ -46,7 +48,7 @@ def nearest(nodes: DataFrame, points: DataFrame, k: int, *, side: float | None =
         side *= 2
 
 
-def _round(nodes: DataFrame, points: DataFrame, k: int, side: float, low: float, bottom: float, others: bool) -> DataFrame:
+def _round(nodes: DataFrame, points: DataFrame, k: int, side: float, low: float, bottom: float, others: bool, tie: float) -> DataFrame:
     bx, by = F.floor((F.col("x") - low) / side), F.floor((F.col("y") - bottom) / side)
     around = F.explode(F.array(*(F.struct((bx + a).alias("bx"), (by + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
     # The nodes are sent to nine buckets; points, often more, stay in their own.
@@ -55,5 +57,10 @@ def _round(nodes: DataFrame, points: DataFrame, k: int, side: float, low: float,
     if others:
         met = met.filter("node <> id")
     d = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "id"))
-    return met.select("node", "id", d.alias("d")).withColumn("rn", rank).filter(F.col("rn") <= k)
+    met, of_node = met.select("node", "id", d.alias("d")), Window.partitionBy("node")
+    if not tie:
+        return met.withColumn("rn", F.row_number().over(of_node.orderBy("d", "id"))).filter(F.col("rn") <= k)
+    by_d = of_node.orderBy("d", "id")
+    met = met.withColumn("apart", (F.col("d") - F.lag("d").over(by_d) > tie).cast("int"))
+    met = met.withColumn("step", F.coalesce(F.sum("apart").over(by_d.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return met.withColumn("rn", F.row_number().over(of_node.orderBy("step", "id"))).filter(F.col("rn") <= k).select("node", "id", "d", "rn")
