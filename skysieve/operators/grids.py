@@ -186,10 +186,6 @@ def box_mean(field: DataFrame, radius: int = 1, *, value: str = "v") -> DataFram
     return field.join(means, CELL, "left")
 
 
-#: Rounding moves a distance in the plane by about 1e-12 km; distances this close are equal.
-TIE_KM = 1e-9
-
-
 def _plane(df: DataFrame, lat0: float, lon0: float, *keep: str) -> DataFrame:
     """The columns with x and y: kilometres on a local equirectangular plane."""
     return df.select(*keep, (F.radians(F.col("lon") - lon0) * math.cos(math.radians(lat0)) * EARTH_KM).alias("x"), (F.radians(F.col("lat") - lat0) * EARTH_KM).alias("y"))
@@ -199,14 +195,15 @@ def idw(obs: DataFrame, nodes: DataFrame, *, k: int = 8, power: float = 2.0, smo
     """(node, estimate, variance): inverse-distance weights of the k nearest observations in a local equirectangular plane.
 
     ``obs``: id, lat, lon, v. ``nodes``: node, lat, lon. Neighbours come from
-    ``nearest``, so no node meets all observations; equal distances, to ``TIE_KM``,
-    tie by id, whatever the order in which the plane's middle was summed.
+    ``nearest``, so no node meets all observations. The plane's middle is summed in
+    decimals: in doubles its last digits hang on the order of rows, and with them
+    which of two places that mirror each other around a node is the nearer.
     """
     o = obs.filter(clean(F.col("v")).isNotNull())
-    middle = o.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).first()
+    middle = o.agg(*(F.avg(clean(F.col(c)).try_cast("decimal(30,18)")).cast("double").alias(c) for c in ("lat", "lon"))).first()
     if middle["lat"] is None:
         raise ValueError("no observation")
-    near = nearest(_plane(nodes, *middle, "node"), _plane(o, *middle, "id"), k, tie=TIE_KM).join(o.select("id", "v"), "id")
+    near = nearest(_plane(nodes, *middle, "node"), _plane(o, *middle, "id"), k).join(o.select("id", "v"), "id")
     w = 1.0 / F.pow(F.col("d") * F.col("d") + smoothing + 1e-12, F.lit(power / 2))
     est = near.groupBy("node").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("estimate"), F.avg("d").alias("_md"), (F.sum(w * F.col("v") * F.col("v")) / F.sum(w)).alias("_m2"))
     typical = quantiles(est, "_md", [0.5])[0] or 0.0

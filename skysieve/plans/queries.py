@@ -524,7 +524,8 @@ _OBS_IDW = f"{V.STATIONS_SQL}, o AS (SELECT station AS id, lat, lon, station % 9
 def _fill_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     obs = V.stations(spark, d).select(F.col("station").alias("id"), "lat", "lon", (F.col("station") % 97 + 0.5).alias("v"))
     i, j = F.floor(F.col("id") / 20), F.col("id") % 20
-    return obs, spark.range(400).select((i * 100 + j).alias("node"), (8.0 + 1.4 * i).alias("lat"), (70.0 + 1.3 * j).alias("lon"))
+    # As the SQL, whose 8.0 + 1.4 * i are decimals: rounded once.
+    return obs, spark.range(400).select((i * 100 + j).alias("node"), ((80 + 14 * i) / 10).alias("lat"), ((700 + 13 * j) / 10).alias("lon"))
 
 
 @query(f"""WITH {_OBS_IDW}, m AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM o), po AS (SELECT id, v, radians(lon - lon0) * cos(radians(lat0)) * 6371.0088 AS x, radians(lat - lat0) * 6371.0088 AS y FROM o, m),

@@ -1,6 +1,6 @@
 """The end-to-end plans on a small made-up world, and the streaming product."""
 
-from skysieve.plans import more, objectives
+from skysieve.plans import more, objectives, queries
 
 
 def test_surface_index(spark):
@@ -16,3 +16,8 @@ def test_hotspots(spark):
     assert out.votes.count() > 0 and out.history.count() > 0
     assert out.correlation.filter("is_peak").count() == 1 and out.inventory.count() == 3
     assert out.polygons.filter("geometry NOT LIKE 'POLYGON%'").isEmpty()
+
+
+def test_fill_nodes_are_the_decimals_of_the_sql(spark):
+    _, nodes = queries._fill_inputs(spark, "/root/testdata/sf0.001")
+    assert {(r.node, r.lat, r.lon) for r in nodes.collect()} == {(i * 100 + j, (80 + 14 * i) / 10, (700 + 13 * j) / 10) for i in range(20) for j in range(20)}
